@@ -8,13 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leftdeep.llm import bpe, quality, sharding
+from leftdeep.llm import bpe, decontaminate, quality, sharding
 
 
 def _read(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet").select(*columns)
 
 
+def winnowing_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    out = decontaminate.contamination(_read(spark, d, "documents", "doc_id", "text"), _read(spark, d, "benchmark", "item_id", "text"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def quality_js_divergence(spark: SparkSession, d: str) -> DataFrame:
     out = quality.judge(_read(spark, d, "documents", "doc_id", "text", "lang"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -37,8 +49,12 @@ def byte_bpe(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_winnowing_decontamination": winnowing_decontamination,
     "op4_quality_js_divergence": quality_js_divergence,
     "op5_lpt_sharding": lpt_sharding,
     "op7_byte_bpe": byte_bpe,
 }
-ORACLE: dict[str, str] = {"op4_quality_js_divergence": quality.sql()}
+ORACLE: dict[str, str] = {
+    "op2_winnowing_decontamination": decontaminate.sql(),
+    "op4_quality_js_divergence": quality.sql(),
+}
