@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leftdeep.llm import bpe, decontaminate, quality, sharding
+from leftdeep.llm import bpe, decontaminate, jaccard, quality, sharding
 
 
 def _read(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
@@ -37,6 +37,10 @@ def lpt_sharding(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def grouped_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.link(_read(spark, d, "documents", "doc_id", "text"))
+
+
 def byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     out = bpe.decode(bpe.encode(_read(spark, d, "documents", "doc_id", "text"), ranks, public_tokenizers.PATTERN), ranks)
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_winnowing_decontamination": winnowing_decontamination,
     "op4_quality_js_divergence": quality_js_divergence,
     "op5_lpt_sharding": lpt_sharding,
+    "op6_grouped_jaccard": grouped_jaccard,
     "op7_byte_bpe": byte_bpe,
 }
 ORACLE: dict[str, str] = {
