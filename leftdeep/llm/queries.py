@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leftdeep.llm import bpe, decontaminate, jaccard, quality, sharding
+from leftdeep.llm import bpe, decontaminate, jaccard, pseudonyms, quality, sharding
+
+#: For these queries only; a real corpus gets a secret one.
+PSEUDONYM_KEY = "an example key"
 
 
 def _read(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
@@ -27,6 +30,10 @@ def winnowing_decontamination(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def feistel_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
+    return pseudonyms.pseudonymize(_read(spark, d, "documents", "doc_id", "text"), PSEUDONYM_KEY)
+
+
 def quality_js_divergence(spark: SparkSession, d: str) -> DataFrame:
     out = quality.judge(_read(spark, d, "documents", "doc_id", "text", "lang"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -54,6 +61,7 @@ def byte_bpe(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_winnowing_decontamination": winnowing_decontamination,
+    "op3_feistel_pseudonyms": feistel_pseudonyms,
     "op4_quality_js_divergence": quality_js_divergence,
     "op5_lpt_sharding": lpt_sharding,
     "op6_grouped_jaccard": grouped_jaccard,
