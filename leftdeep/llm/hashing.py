@@ -89,7 +89,7 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def batches(texts: list[str | None], size: int = 1 << 22):
+def batches(texts: list[str | None], size: int = 1 << 20):
     """(first, bytes of some texts) in turn, about ``size`` bytes at once; null counts as empty."""
     part: list[bytes] = []
     held = first = 0

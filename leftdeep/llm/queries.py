@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leftdeep.llm import bpe, decontaminate, jaccard, pseudonyms, quality, sharding
+from leftdeep.llm import bpe, decontaminate, jaccard, pseudonyms, quality, scoring, sharding
 
 #: For these queries only; a real corpus gets a secret one.
 PSEUDONYM_KEY = "an example key"
@@ -59,6 +59,10 @@ def byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def backoff_scores(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.score(_read(spark, d, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_winnowing_decontamination": winnowing_decontamination,
     "op3_feistel_pseudonyms": feistel_pseudonyms,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lpt_sharding": lpt_sharding,
     "op6_grouped_jaccard": grouped_jaccard,
     "op7_byte_bpe": byte_bpe,
+    "op9_backoff_scores": backoff_scores,
 }
 ORACLE: dict[str, str] = {
     "op2_winnowing_decontamination": decontaminate.sql(),
