@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from leftdeep.llm import bpe, decontaminate, jaccard, pseudonyms, quality
 from leftdeep.llm.queries import PSEUDONYM_KEY
+from leftdeep.llm.session import short_batches
 from leftdeep.shared import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return quality.judge(docs).where("kept").select(*docs.columns)
 
 

@@ -11,8 +11,9 @@ common words: ``min_words_common``), and languages whose documents have under
 Base rules reject before that: fewer than ``min_words_kept`` words, or over
 ``max_repeated`` percent of words in 8-word windows that occur twice in the text.
 
-Everything is a native expression in two scans; only the references, one row a
-language of the list plus one for all others, are broadcast. Null and empty texts have
+Everything is a native expression. The features are computed in one scan and written
+beside the columns that the result carries; references and verdicts come from that table.
+Only the references, one row a language of the list plus one for all others, are broadcast. Null and empty texts have
 no words and fail the base rules. A null or unlisted language is judged as "other".
 Rows are independent of their repetitions; an empty table gives an empty result.
 Existing columns with an output's name are replaced.
@@ -20,11 +21,14 @@ Existing columns with an output's name are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leftdeep.shared import stored
+
 # Frequent words of the four languages, in order of frequency.
 COMMON_WORDS = {
     "en": "the of and to in a is that it for on was be with as this by at are from or an",
@@ -101,9 +105,11 @@ def _features(df: DataFrame, text_col: str, lang_col: str, prefix: str = "_q_")
     known = [F.col(name(k)) for k in (*CLASSES, "spaces", "wide")]
     rest = F.col(name("chars")) - sum(known[1:], known[0])
     listed = sorted({w for v in COMMON_WORDS.values() for w in v.split()})
+    longest = max(len(x.encode()) for x in listed) + 4  # longer ones aren't worth a look
+    short = F.filter(name("words"), lambda w: F.octet_length(w) <= longest)
     codes = F.array_join(
         F.filter(
-            F.transform(name("words"), lambda w: F.array_position(F.array(*[F.lit(x) for x in listed]), F.lower(w)).cast("int")),
+            F.transform(short, lambda w: F.array_position(F.array(*[F.lit(x) for x in listed]), F.lower(w)).cast("int")),
             lambda i: i > 0,
         ),
         ",",
@@ -124,10 +130,10 @@ def _features(df: DataFrame, text_col: str, lang_col: str, prefix: str = "_q_")
     )
 
 
-def references(df: DataFrame, limits: Limits, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def references(features: DataFrame, limits: Limits) -> DataFrame:
     """One row a language: the summed bins of its documents, and their words. At most
     len(LANGUAGES) + 1 rows."""
-    found = _features(df.select(text_col, lang_col), text_col, lang_col).where(F.col("_q_n_words") >= limits.min_words)
+    found = features.where(F.col("_q_n_words") >= limits.min_words)
     n_class, n_word = len(CLASSES) + 3, len({w for v in COMMON_WORDS.values() for w in v.split()}) + 1
     flat = found.select("_q_lang", "_q_n_words", *[F.col("_q_class_bins")[i].alias(f"c{i}") for i in range(n_class)], *[F.col("_q_word_bins")[i].alias(f"w{i}") for i in range(n_word)])
     sums = flat.groupBy("_q_lang").agg(
@@ -151,14 +157,16 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
-def judge(df: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    class_distance, word_distance, base_failed and kept."""
-    columns = df.columns
+def judge(df: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang", carried: Sequence[str] | None = None) -> DataFrame:
+    """The ``carried`` columns of ``df`` (all, if None) with n_words, word_chars, n_symbols,
+    n_dup_lines, n_repeat_words, class_distance, word_distance, base_failed and kept."""
+    columns = df.columns if carried is None else list(carried)
     out = _features(df, text_col, lang_col)
     lines = F.filter(F.split("_q_text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     out = out.withColumns({"_q_repeat": repeated_words(F.col("_q_words")), "_q_dup": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))})
-    out = out.join(F.broadcast(references(df, limits, text_col, lang_col)), "_q_lang", "left")
+    used = ("lang", "n_words", "chars", "spaces", "symbols", "dup", "repeat", "class_bins", "word_bins")
+    out = stored(out.select(*[F.col(f"`{c}`") for c in columns], *[f"_q_{c}" for c in used]), "features")
+    out = out.join(F.broadcast(references(out, limits)), "_q_lang", "left")
     out = out.withColumns(
         {
             "_q_class_distance": js_distance(F.col("_q_class_bins"), F.col("_q_ref_class")),
