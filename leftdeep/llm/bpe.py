@@ -17,7 +17,6 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,12 +24,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leftdeep.llm.hashing import ranges
+
 #: Widest matrix, in bytes of a piece.
 LONGEST_ROW = 192
 #: Cells of a matrix that is worked on at once.
 CELLS = 1 << 20
 #: Pieces that a worker remembers, and characters of text it takes at once.
-REMEMBERED, CHARACTERS = 250_000, 1 << 20
+REMEMBERED, CHARACTERS = 200_000, 1 << 19
 #: A rank file of more bytes is refused: it is sent to every worker.
 LARGEST_FILE = 64 << 20
 NONE = np.int32(2**31 - 1)
@@ -54,6 +55,12 @@ class Vocabulary:
             for i in range(1, len(t))
             if t[:i] in ranks and t[i:] in ranks
         }
+        size = max(self.tokens, default=-1) + 1
+        self.length, self.start = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        for i, t in self.tokens.items():
+            self.length[i] = len(t)
+        self.start[1:] = np.cumsum(np.maximum(self.length, 0))[:-1]
+        self.bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), np.uint8)
         self._fill(np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
 
     def _fill(self, keys: np.ndarray, ranks: np.ndarray) -> None:
@@ -89,10 +96,17 @@ class Vocabulary:
             open_ = open_[~hit & (found != -1)]
         return out
 
-    def encode_rows(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
+    def decode(self, ids: np.ndarray) -> bytes:
+        known = (ids >= 0) & (ids < len(self.length))
+        length = np.where(known, self.length[np.where(known, ids, 0)], -1)
+        if (length < 0).any():
+            raise ValueError(f"no token has the id {ids[length < 0][0]}")
+        return self.bytes[ranges(self.start[ids], length)].tobytes()
+
+    def encode_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Pieces of at most ``width`` bytes, as one matrix."""
         n = len(pieces)
-        out: list[tuple[int, ...]] = [()] * n
+        out = [b""] * n
         lengths = np.fromiter(map(len, pieces), np.int64, n)
         ids = np.full((n, width), -1, np.int32)
         ids[np.arange(width) < lengths[:, None]] = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
@@ -103,8 +117,10 @@ class Vocabulary:
             least = ranks[np.arange(len(number)), at] if ranks.shape[1] else np.full(len(number), NONE)
             going = least != NONE
             if not going.all():
-                for i, row in zip(number[~going].tolist(), ids[~going].tolist(), strict=True):
-                    out[i] = tuple(row[: row.index(-1)] if row[-1] == -1 else row)
+                done = ids[~going]
+                data, ends = done.tobytes(), (done >= 0).sum(1) * 4 + np.arange(len(done)) * done.shape[1] * 4
+                for j, (i, end) in enumerate(zip(number[~going].tolist(), ends.tolist(), strict=True)):
+                    out[i] = data[j * done.shape[1] * 4 : end]
                 number, ids, ranks, at, least = number[going], ids[going], ranks[going], at[going], least[going]
                 if not len(number):
                     break
@@ -121,7 +137,7 @@ class Vocabulary:
             ranks[r[after], at[after]] = self.rank(ids[r[after], at[after]], ids[r[after], at[after] + 1])
         return out
 
-    def encode_long(self, piece: bytes) -> tuple[int, ...]:
+    def encode_long(self, piece: bytes) -> bytes:
         """The same merges in the same order, from a heap over a linked list."""
         ids = self.of_byte[np.frombuffer(piece, np.uint8)]
         n = len(ids)
@@ -148,10 +164,11 @@ class Vocabulary:
             look(i)
             if before[i] >= 0:
                 look(before[i])
-        return tuple(x for x in now if x >= 0)
+        return np.array([x for x in now if x >= 0], np.int32).tobytes()
 
-    def encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = [()] * len(pieces)
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as the bytes of 32-bit integers."""
+        out = [b""] * len(pieces)
         rows: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             if len(p) > LONGEST_ROW:
@@ -180,7 +197,7 @@ def read_ranks(path: str) -> bytes:
     return data
 
 
-def encode_texts(vocabulary: Vocabulary, pattern: regex.Pattern, texts: list[str], known: dict[str, tuple[int, ...]]) -> Iterator[np.ndarray]:
+def encode_texts(vocabulary: Vocabulary, pattern: regex.Pattern, texts: list[str], known: dict[str, bytes]) -> Iterator[np.ndarray]:
     """``known``: pieces met before; it is filled, and emptied when it has grown too large."""
     at = 0
     while at < len(texts):
@@ -194,7 +211,7 @@ def encode_texts(vocabulary: Vocabulary, pattern: regex.Pattern, texts: list[str
         new = list(set().union(*cut) - known.keys())
         known.update(zip(new, vocabulary.encode([p.encode() for p in new]), strict=True))
         for pieces in cut:
-            yield np.array(list(chain.from_iterable(map(known.__getitem__, pieces))), np.int32)
+            yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
         at = end
 
 
@@ -217,11 +234,8 @@ def decode(df: DataFrame, ranks: bytes, ids_col: str = "ids", out_col: str = "de
 
     @F.pandas_udf("binary")
     def text(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = _vocabulary(data.value).tokens
+        vocabulary = _vocabulary(data.value)
         for part in ids:
-            try:
-                yield pd.Series([b"" if x is None else b"".join(map(tokens.__getitem__, x.tolist())) for x in part], index=part.index, dtype=object)
-            except KeyError as e:
-                raise ValueError(f"no token has the id {e}") from e
+            yield pd.Series([b"" if x is None else vocabulary.decode(x) for x in part], index=part.index, dtype=object)
 
     return df.withColumn(out_col, text(F.col(ids_col)))

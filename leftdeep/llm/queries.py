@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leftdeep.llm import bpe, decontaminate, jaccard, pseudonyms, quality, scoring, sharding, urlfilter
+from leftdeep.llm import bpe, decontaminate, jaccard, pseudonyms, quality, scoring, sharding, urlfilter, wrappers
 from leftdeep.llm.session import short_batches
 
 #: For these queries only; a real corpus gets a secret one.
@@ -20,6 +20,11 @@ def _read(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet").select(*columns)
 
 
+def wrapper_main_text(spark: SparkSession, d: str) -> DataFrame:
+    out = wrappers.main_text(_read(spark, d, "pages", "page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def winnowing_decontamination(spark: SparkSession, d: str) -> DataFrame:
     out = decontaminate.contamination(_read(spark, d, "documents", "doc_id", "text"), _read(spark, d, "benchmark", "item_id", "text"))
     return out.select(
@@ -93,6 +98,7 @@ def temporal_url_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_wrapper_main_text": wrapper_main_text,
     "op2_winnowing_decontamination": winnowing_decontamination,
     "op3_feistel_pseudonyms": feistel_pseudonyms,
     "op4_quality_js_divergence": quality_js_divergence,
