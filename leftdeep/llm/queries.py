@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leftdeep.llm import bpe, decontaminate, jaccard, pseudonyms, quality, scoring, sharding, urlfilter, wrappers
+from leftdeep.llm import bpe, decontaminate, jaccard, pseudonyms, quality, scoring, sharding, substrings, urlfilter, wrappers
 from leftdeep.llm.session import short_batches
 
 #: For these queries only; a real corpus gets a secret one.
@@ -70,6 +70,17 @@ def backoff_scores(spark: SparkSession, d: str) -> DataFrame:
     return scoring.score(_read(spark, d, "documents", "doc_id", "text"))
 
 
+def repeated_substrings(spark: SparkSession, d: str) -> DataFrame:
+    out = substrings.remove_repeats(_read(spark, d, "documents", "doc_id", "text"))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        (F.size("spans") / 2).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 #: A dated list for the query: kind, value, action, category, day.
 LIST = [
     ("domain", "cheap-pills.example.com", "add", "spam", "2024-02-01"),
@@ -107,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": byte_bpe,
     "op8_temporal_url_filter": temporal_url_filter,
     "op9_backoff_scores": backoff_scores,
+    "op10_repeated_substrings": repeated_substrings,
 }
 ORACLE: dict[str, str] = {
     "op2_winnowing_decontamination": decontaminate.sql(),
