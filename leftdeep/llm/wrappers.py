@@ -64,6 +64,8 @@ CLOSED_WORDS = set(
     "notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login share sharing social comment comments disqus reply replies respond related recommended "
     "widget widgets toolbar pagination pager skip alert contentinfo complementary search byline".split()
 )
+#: Elements that their class doesn't close.
+WHOLE = ("html", "body", "main")
 BROADCAST, SALTS = 32 << 20, 16
 #: Hosts that a task holds before it hands their wrappers on.
 HOSTS = 2_000
@@ -234,7 +236,7 @@ def regions(wrapper: tuple) -> set[tuple]:
 
     def walk(node: tuple, path: tuple, inside: str) -> None:
         for child, _, _ in node[2]:
-            if closed(child[0]) and child[0][0] not in ("main", "body"):
+            if closed(child[0]) and child[0][0] not in WHOLE:
                 continue
             tag = "main" if "main" in child[0][1] and child[0][0] in ("main", "div", "section") else child[0][0]
             here = (*path, child[0])
@@ -257,7 +259,7 @@ def extract(page: Node, wrapper: tuple) -> str:
             if isinstance(p, str):
                 if inside:
                     out.append(p)
-            elif not closed(p.sig) or (not inside and p.sig[0] in ("main", "body")):
+            elif not closed(p.sig) or (not inside and p.sig[0] in WHOLE):
                 item = next((n for n, _, _ in place[2] if n[0] == p.sig), None) if place else None
                 if item is not None:
                     walk(p, item, (*path, p.sig), inside)

@@ -37,6 +37,7 @@ def test_markup_in_any_state():
     assert one("") == "" and one("just text") == "just text"
     assert one("<p>a<p>b</div></p>c") == "a\nb\nc"
     assert one("<body><main><p>x</p></main><p>y</p></body>") == "x"
+    assert one("<html class='no-js cookie'><body class='comments-open nav-top'><p>x</p></body></html>") == "x"
     assert one("<p>1 < 2 & 3</p><script>bad") == "1 < 2 & 3"
     assert one("<table><tr><td>a<td>b<tr><td>c</table>") == "a\nb\nc"
     assert one("<p hidden>no</p><p style='display:none'>no</p><p>yes &#x41;</p>") == "yes A"
