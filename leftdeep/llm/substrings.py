@@ -12,7 +12,10 @@ to do with each of their distinct runs:
 - the key occurs once: no window of the run occurs elsewhere;
 - the same run occurs elsewhere: all its windows do;
 - only other runs have the key: the run's bytes, and one copy of each other run of the
-  key, go to one place and are compared.
+  key, go to one place and are compared;
+- over ``hot`` different runs have the key, as around a passage that many documents share:
+  their windows go on one by one, as hashes, each to the place of its own hash, and are
+  counted there. So no key is ever gathered whole beyond that number.
 
 There the strings of a key are joined, and their windows sorted as suffixes by prefix
 doubling. With the previous and the next smaller text position of each in suffix order,
@@ -20,7 +23,8 @@ and the least common prefix on the way there, the longest previous factor follow
 same with greater positions gives the longest next factor. A window of which either
 reaches LENGTH is repeated. So copies are compared once however many there are.
 
-Runs are told apart by 120 bits of hashes, strings compared exactly. Null and empty texts
+Runs (and the windows of hot keys) are told apart by 120 bits of hashes, strings compared
+exactly. Null and empty texts
 have nothing to remove. Repeated rows are copies of each other. Texts of any length are
 cut into overlapping segments for hashing only. An empty table gives an empty result.
 """
@@ -43,8 +47,11 @@ LENGTH, GRAM = 200, 32
 #: Window starts that are hashed at once, and bytes that are sorted at once.
 SEGMENT, SORTED = 1 << 19, 4 << 20
 PLACE = 20  # bits of a position in a segment
-ALONE, WHOLE, COMPARED, SHOWN = 0, 1, 2, 3
-STRINGS = "part int, key long, chunk string, number int, bytes binary"
+#: Different runs of a key beyond which its windows are dealt out singly.
+HOT = 1 << 14
+ALONE, WHOLE, COMPARED, SHOWN, SPLIT, SPLIT_SHOWN = range(6)
+#: place: which window of the run, -1: all of it; number: -1 if no answer is wanted.
+STRINGS = "part int, key long, chunk string, number int, place int, bytes binary"
 RESULT = "doc_id long, n_bytes long, spans array<long>, kept binary"
 
 
@@ -127,8 +134,9 @@ def _ask(parts: int):
     return of_chunk
 
 
-def _answer(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk's runs: ALONE, WHOLE, COMPARED or SHOWN (repeated, and compared with)."""
+def _answer(group: tuple, rows: pd.DataFrame, hot: int) -> pd.DataFrame:
+    """For each chunk's runs: ALONE, WHOLE, COMPARED or SHOWN (repeated, and compared with),
+    or of a hot key SPLIT or SPLIT_SHOWN."""
     rows = rows.sort_values("chunk")
     given = [exchange.unpacked(b, 2) for b in rows["blob"]]
     key, own, count = (np.concatenate([g[i] for g in given]) for i in range(3))
@@ -142,30 +150,55 @@ def _answer(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     copies = np.bincount(of_own, count)[of_own]
     shows = chunk == chunk[np.flatnonzero(new_own)][of_own]
     state = np.where(kinds == 1, np.where(copies > 1, WHOLE, ALONE), np.where(copies == 1, COMPARED, np.where(shows, SHOWN, WHOLE)))
+    state = state + np.where((kinds > hot) & np.isin(state, (COMPARED, SHOWN)), SPLIT - COMPARED, 0)
     back = np.empty(len(order), U)
     back[order] = state
     cut = np.cumsum([0, *(len(g[0]) for g in given)])
     return pd.DataFrame({"level": 1, "part": group[1], "chunk": rows["chunk"].tolist(), "blob": [exchange.pack(back[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]})
 
 
+def _windows(text: bytes) -> np.ndarray:
+    """Hashes of all windows."""
+    data = np.frombuffer(text, np.uint8)
+    sums, inverse = prefix_sums(data)
+    return mix((sums[LENGTH:] - sums[:-LENGTH]) * inverse[: len(data) - LENGTH + 1])
+
+
 def _strings(parts: int):
+    def part_of(key: np.ndarray) -> np.ndarray:
+        return (np.searchsorted(exchange.bounds(parts), key, side="right") - 1).astype(np.int32)
+
     def of_chunk(name: str, ids: list, texts: list[bytes], answers: pd.DataFrame) -> Iterator[pd.DataFrame]:
         found = runs(texts)
         order, begins, _ = entries(found)
         state = _states(answers, begins)
         data = b"".join(texts)
-        shown = np.flatnonzero((state == COMPARED) | (state == SHOWN))
-        run = order[begins[shown]]
-        key = found["key"][run]
-        yield pd.DataFrame(
-            {
-                "part": (np.searchsorted(exchange.bounds(parts), key, side="right") - 1).astype(np.int32),
-                "key": key.view(np.int64),
-                "chunk": name,
-                "number": np.where(state[shown] == COMPARED, shown, -1).astype(np.int32),
-                "bytes": [data[a : b + LENGTH] for a, b in zip(found["first"][run].tolist(), found["last"][run].tolist(), strict=True)],
-            }
-        )
+
+        def of(states: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+            at = np.flatnonzero(np.isin(state, states))
+            run = order[begins[at]]
+            number = np.where(state[at] == states[0], at, -1).astype(np.int32)
+            return number, run, found["key"][run], [data[a : b + LENGTH] for a, b in zip(found["first"][run].tolist(), found["last"][run].tolist(), strict=True)]
+
+        number, run, key, strings = of((COMPARED, SHOWN))
+        yield pd.DataFrame({"part": part_of(key), "key": key.view(np.int64), "chunk": name, "number": number, "place": np.int32(-1), "bytes": pd.Series(strings, dtype=object)})
+        number, run, key, strings = of((SPLIT, SPLIT_SHOWN))
+        if len(run):
+            own = [_windows(x) for x in strings]
+            size = np.array([len(x) for x in own])
+            value = np.concatenate(own)
+            digest = np.stack([np.repeat(key, size), value], 1).tobytes()
+            at = value >> U(64 - exchange.KEY_BITS)
+            yield pd.DataFrame(
+                {
+                    "part": part_of(at),
+                    "key": at.view(np.int64),
+                    "chunk": name,
+                    "number": np.repeat(number, size),
+                    "place": ranges(np.zeros(len(size), np.int64), size).astype(np.int32),
+                    "bytes": [digest[i : i + 16] for i in range(0, len(digest), 16)],
+                }
+            )
 
     return of_chunk
 
@@ -248,8 +281,10 @@ def repeated(strings: list[bytes]) -> list[np.ndarray]:
 
 
 def _compare(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["key", "chunk", "number"], kind="stable").reset_index(drop=True)
-    key, size = rows["key"].to_numpy(), rows["bytes"].map(len).to_numpy()
+    single = rows[rows["place"] >= 0]
+    single = single[single.duplicated(["key", "bytes"], keep=False) & (single["number"] >= 0)]
+    rows = rows[rows["place"] < 0].sort_values(["key", "chunk", "number"], kind="stable").reset_index(drop=True)
+    key, size = rows["key"].to_numpy(), rows["bytes"].map(len).to_numpy(np.int64)
     out, at = [], 0
     while at < len(rows):  # whole keys, about SORTED bytes of them
         end = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), SORTED)))
@@ -257,10 +292,11 @@ def _compare(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             end += 1
         out += repeated(rows["bytes"][at:end].tolist())
         at = end
-    rows["hit"] = out
+    rows["hit"] = pd.Series(out, dtype=object)
     rows = rows[rows["number"] >= 0]
-    made = [(c, pickle.dumps((g["number"].to_numpy(), [np.packbits(h).tobytes() for h in g["hit"]]))) for c, g in rows.groupby("chunk")]
-    return pd.DataFrame({"level": 2, "part": group[0], "chunk": pd.Series([c for c, _ in made], dtype=object), "blob": pd.Series([b for _, b in made], dtype=object)})
+    made = [(c, (g["number"].to_numpy(), [np.packbits(h).tobytes() for h in g["hit"]])) for c, g in rows.groupby("chunk")]
+    made += [(c, (g["number"].to_numpy(), g["place"].to_numpy())) for c, g in single.groupby("chunk")]
+    return pd.DataFrame({"level": 2, "part": group[0], "chunk": pd.Series([c for c, _ in made], dtype=object), "blob": pd.Series([pickle.dumps(b) for _, b in made], dtype=object)})
 
 
 def _remove(name: str, ids: list, texts: list[bytes], answers: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -274,10 +310,15 @@ def _remove(name: str, ids: list, texts: list[bytes], answers: pd.DataFrame) ->
         np.add.at(edge, first, 1)
         np.add.at(edge, last + LENGTH, -1)
 
-    whole = order[np.isin(state, (WHOLE, SHOWN))[number]] if len(order) else order
+    whole = order[np.isin(state, (WHOLE, SHOWN, SPLIT_SHOWN))[number]] if len(order) else order
     cover(found["first"][whole], found["last"][whole])
     for blob in answers.loc[answers["level"] == 2, "blob"].drop_duplicates():
-        for i, bits in zip(*pickle.loads(blob), strict=True):
+        numbers, hits = pickle.loads(blob)
+        if isinstance(hits, np.ndarray):
+            at = found["first"][order[begins[numbers]]] + hits
+            cover(at, at)
+            continue
+        for i, bits in zip(numbers, hits, strict=True):
             run = order[begins[i]]
             a, n = found["first"][run], found["last"][run] - found["first"][run] + 1
             hit = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=n))
@@ -294,12 +335,16 @@ def _remove(name: str, ids: list, texts: list[bytes], answers: pd.DataFrame) ->
     yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_bytes": [len(t) for t in texts], "spans": spans, "kept": kept})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = exchange.CHUNK_BYTES, part_bytes: int = exchange.PART_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = exchange.CHUNK_BYTES, part_bytes: int = exchange.PART_BYTES, hot: int = HOT) -> DataFrame:
     """Returns doc_id, n_bytes, spans (removed, flattened pairs of byte offsets) and kept (the
     remaining bytes) for each row of ``docs``."""
     parts = exchange.parts_for(docs, text_col, part_bytes)
     asked = exchange.ask(docs, id_col, text_col, _ask(parts), chunk_bytes)
-    first = stored(asked.groupBy("level", "part").applyInPandas(_answer, exchange.ASKED), "runs")
+
+    def answer(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _answer(group, rows, hot)
+
+    first = stored(asked.groupBy("level", "part").applyInPandas(answer, exchange.ASKED), "runs")
     strings = exchange.meet(docs, first, id_col, text_col, _strings(parts), STRINGS, chunk_bytes)
     second = stored(strings.groupBy("part").applyInPandas(_compare, exchange.ASKED), "compared")
     return exchange.meet(docs, first.union(second), id_col, text_col, _remove, RESULT, chunk_bytes)

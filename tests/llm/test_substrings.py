@@ -46,10 +46,10 @@ def same(got, want):
         assert got[i] == tuple(w), i
 
 
-@pytest.mark.parametrize("size", [1 << 24, 700])
-def test_against_brute_force(spark, size):
+@pytest.mark.parametrize("size, hot", [(1 << 24, substrings.HOT), (700, substrings.HOT), (1500, 1), (1500, 2)])
+def test_against_brute_force(spark, size, hot):
     rows = cases()
-    same(substrings.remove_repeats(frame(spark, rows), chunk_bytes=size, part_bytes=size * 3).collect(), brute(rows))
+    same(substrings.remove_repeats(frame(spark, rows), chunk_bytes=size, part_bytes=size * 3, hot=hot).collect(), brute(rows))
 
 
 def test_long_texts_are_cut_for_hashing_only(monkeypatch):
