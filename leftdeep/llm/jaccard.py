@@ -11,18 +11,19 @@ as one shingle). Two documents link when their sets' Jaccard similarity is at le
    ``n - ceil(t n) + 1`` ones, their prefixes.
 3. Classes of identical prefix and size collapse into one group; a group stands in the
    posting list of each shingle of its prefix.
-4. Rounds that merge: every component picks the partner it shares most prefix shingles
-   with, among the first (then the preceding) entry of its posting lists; that one pair is
-   verified, and verified pairs merge components. A crowd of near copies thus becomes one
-   component through about as many pairs as it has members.
+4. A round that merges: every group picks the partner that most often stands first in its
+   posting lists, and that which most often precedes it; these pairs, and each member of a
+   group with the group's first, are verified, and verified pairs form components. A crowd
+   of near copies thus becomes few components through about as many pairs as members.
 5. All pairs of groups that share a prefix shingle, are of compatible size, aren't yet in
-   one component and can still reach the overlap (by what they share so far and what is
+   one component and can still reach the overlap (by what their prefixes share and what is
    left) are expanded to their members and verified exactly, as are the members of one
    group that are still apart. So no link between different components is missed, and
    pairs inside a component, which can't change the result, are not made.
 
 No posting list is gathered in a task: lists are sorted and joined by Spark, which spills
-and splits them. Only texts that share a prefix shingle with another are moved.
+and splits them. Only the texts of candidate pairs are moved: a filter of fixed size picks
+them out of the scan.
 
 Null texts and texts without words have an empty set and no links. Repeated rows are in
 one class. doc_id names a document: rows that share one are linked. A row whose doc_id is
@@ -47,6 +48,10 @@ SHINGLE, PERCENT = 5, 80
 #: Counters of the sketch: 2**SKETCH_BITS, whatever the corpus (4 MB to each worker).
 SKETCH_BITS = 20
 CHUNK = 1 << 12
+#: Bits of the filter that finds the texts of candidate pairs: 8 MB to each worker.
+MARK_BITS = 26
+#: Percent of a set that a pair's counted prefix shingles must reach for the first round.
+LIKELY = 4
 U = np.uint64
 
 
@@ -118,7 +123,7 @@ def _prefixes(docs: DataFrame, text_col: str, id_col: str, percent: int) -> Data
                 a, b = (mix(s).sum(dtype=U), mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)) if n else (U(0), U(0))
                 ranked = np.sort(level[s >> U(64 - SKETCH_BITS)] | (mix(s) >> U(6)))
                 prefix = ranked[: n - int(least_overlap(np.int64(n), percent)) + 1] if n else ranked
-                grp = mix(prefix + np.arange(len(prefix), dtype=U)).sum(dtype=U) if n else U(0)
+                grp = mix(prefix + np.arange(len(prefix), dtype=U)).sum(dtype=U) ^ mix(np.array([n], U))[0] if n else U(0)
                 out.append((n, *np.array([a, b, grp], U).view(np.int64).tolist(), prefix.view(np.int64)))
             frame = pd.DataFrame(out, columns=["n", "s1", "s2", "grp", "prefix"])
             frame.insert(0, "doc_id", part[id_col].to_numpy())
@@ -141,69 +146,102 @@ def _similar(percent: int):
     return similar
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size for a column of ids: false hits are possible, misses are not."""
+    at = ids.select(F.pmod(F.xxhash64(ids.columns[0]), F.lit(1 << MARK_BITS)).alias("at"))
+    words = at.groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits"))
+    out = np.zeros(1 << (MARK_BITS - 6), np.int64)
+    found = words.toPandas()  # 2**(MARK_BITS - 6) rows at most
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out.view(U)
+
+
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """About the rows of ``docs`` whose doc_id is in ``ids``, found without a shuffle."""
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(ids))
+
+    @F.pandas_udf("boolean")
+    def hit(at: pd.Series) -> pd.Series:
+        a = at.to_numpy(np.int64)
+        return pd.Series((marks.value[a >> 6] >> (a & 63).astype(U)) & U(1) == U(1))
+
+    return docs.where("doc_id IS NOT NULL").where(hit(F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS))))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` that are similar."""
+    pairs = stored(pairs, "pairs")
+    texts = _marked(docs, pairs.select("a").union(pairs.select("b")))
     one = lambda c, t: texts.select(F.col("doc_id").alias(c), F.col("text").alias(t))
     both = pairs.join(one("a", "_ta"), "a").join(one("b", "_tb"), "b")
-    return both.where(_similar(percent)(F.col("_ta"), F.col("_tb"))).select("a", "b")
+    return both.where(_similar(percent)(F.col("_ta"), F.col("_tb"))).select("a", "b").distinct()
 
 
 def _fits(small: Column, large: Column, percent: int) -> Column:
     return small * 100 >= large * percent
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """Returns doc_id, n_shingles and component_id for each row of ``docs``."""
-    found = stored(_prefixes(docs, text_col, id_col, percent), "prefixes")
-    key = ["s1", "s2", "n"]
-    classes = found.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("grp").alias("grp")).where("rep IS NOT NULL")
-    classes = stored(classes.select(*key, "rep", "grp", F.min("rep").over(Window.partitionBy("grp", "n")).alias("gid"), F.count(F.lit(1)).over(Window.partitionBy("grp", "n")).alias("members")), "classes")
+def _likely(posting: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """For each group one pair with the group that most often stands first in its posting
+    lists, and one with that which most often stands before it; few shared shingles: none."""
+    by_size = Window.partitionBy("token").orderBy("n", "grp")
+    near = posting.select("grp", "n", *[F.struct(f("grp").over(by_size).alias("grp"), f("n").over(by_size).alias("n")).alias(k) for k, f in (("first", F.first), ("lag", F.lag))])
+    near = near.select("grp", "n", F.explode(F.create_map(F.lit(0), F.col("first"), F.lit(1), F.col("lag"))).alias("way", "p"))
+    near = near.where((F.col("grp") != F.col("p.grp")) & _fits(F.col("p.n"), F.col("n"), percent))
+    count = near.groupBy("way", "grp", "n", F.col("p.grp").alias("_grp")).count().where(F.col("count") * 100 >= F.col("n") * LIKELY)
+    best = count.groupBy("way", "grp").agg(F.max_by("_grp", F.struct("count", "_grp")).alias("_grp")).select("grp", "_grp").distinct()
+    head = groups.select("grp", "gid")
+    return best.join(head.withColumnRenamed("gid", "a"), "grp").join(head.select(F.col("grp").alias("_grp"), F.col("gid").alias("b")), "_grp").select("a", "b")
 
-    heads = classes.where("rep = gid").select(F.col("gid").alias("doc_id"), *key)
-    lists = found.join(heads, ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key])
-    posting = lists.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).withColumnRenamed("doc_id", "gid")
+
+def _possible(posting: DataFrame, groups: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that may be similar.
+
+    Let a's prefix end before b's does. Then every common shingle up to that end is in
+    both prefixes and was counted, and the rest of a has n - prefix more at most."""
+    spread = named.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     bucket = Window.partitionBy("token")
-    posting = posting.withColumn("_of", F.count(F.lit(1)).over(bucket)).where("_of > 1").drop("_of")
-    posting = stored(posting, "postings")
-
-    crowded = classes.where("members > 1")
-    wanted = posting.select(F.col("gid")).distinct().join(classes.select("gid", "rep"), "gid").select("rep").union(crowded.select("rep")).distinct()
-    texts = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    members = stored(classes.select("gid", "rep").join(wanted, "rep", "left_semi"), "members")
-
-    by_size = Window.partitionBy("token").orderBy("n", "gid")
-    in_group = crowded.where("rep != gid").select(F.col("rep").alias("a"), F.col("gid").alias("b"))
-    links = comps = None
-    for partner in (lambda c: F.first(c).over(by_size), lambda c: F.lag(c).over(by_size)):
-        now = posting if comps is None else posting.join(comps.select(F.col("node").alias("gid"), "component"), "gid", "left")
-        now = now.withColumn("component", F.coalesce("component", "gid") if comps is not None else F.col("gid"))
-        near = now.select("gid", "component", "n", *[partner(c).alias(f"_{c}") for c in ("gid", "component", "n")])
-        near = near.where((F.col("component") != F.col("_component")) & _fits(F.col("_n"), F.col("n"), percent))
-        best = near.groupBy("component", "gid", "_gid").count().groupBy("component").agg(F.max_by(F.struct("gid", "_gid"), F.struct("count", "gid", "_gid")).alias("p"))
-        pairs = best.select(F.col("p.gid").alias("a"), F.col("p._gid").alias("b"))
-        new = _verified(pairs if links is not None else pairs.union(in_group), texts, percent)
-        links = stored(new if links is None else links.union(new), "links")
-        comps = stored(components(links), "components")
-
-    named = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = stored(named, "named")
-    spread = named.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = posting.join(spread, "gid")
-    mixed = Window.partitionBy("token")
-    open_ = open_.withColumns({"_lo": F.min("lo").over(mixed), "_hi": F.max("hi").over(mixed)}).where("_lo != _hi").drop("_lo", "_hi")
+    open_ = posting.join(spread, "grp").withColumns({"_lo": F.min("lo").over(bucket), "_hi": F.max("hi").over(bucket)})
+    open_ = stored(open_.where("_lo != _hi").select("token", "grp", "n", "lo", "hi"), "open")
     other = open_.select(*[F.col(c).alias(f"_{c}") for c in open_.columns])
     apart = (F.col("lo") != F.col("hi")) | (F.col("_lo") != F.col("_hi")) | (F.col("lo") != F.col("_lo"))
-    ordered = (F.col("_n") < F.col("n")) | ((F.col("_n") == F.col("n")) & (F.col("_gid") < F.col("gid")))
+    ordered = (F.col("_n") < F.col("n")) | ((F.col("_n") == F.col("n")) & (F.col("_grp") < F.col("grp")))
     shared = open_.join(other, (F.col("token") == F.col("_token")) & ordered & _fits(F.col("_n"), F.col("n"), percent) & apart)
-    shared = shared.groupBy("gid", "_gid", "n", "_n").agg(F.count(F.lit(1)).alias("c"), F.max("pos").alias("p"), F.max("_pos").alias("_p"))
-    reach = F.col("c") + F.least(F.col("n") - F.col("p") - 1, F.col("_n") - F.col("_p") - 1)
-    shared = shared.where(reach * (100 + percent) >= (F.col("n") + F.col("_n")) * percent).select("gid", "_gid")
-    in_one = spread.where("lo != hi").select("gid", F.col("gid").alias("_gid"))
-    left = named.select("gid", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    right = named.select(F.col("gid").alias("_gid"), F.col("rep").alias("b"), F.col("component").alias("cb"))
-    pairs = shared.union(in_one).join(left, "gid").join(right, "_gid")
-    pairs = pairs.where((F.col("ca") != F.col("cb")) & ((F.col("gid") != F.col("_gid")) | (F.col("a") < F.col("b")))).select("a", "b")
-    comps = components(links.union(_verified(pairs, texts, percent)))
+    shared = shared.groupBy("grp", "_grp", "n", "_n").count()
+    last = groups.select("grp", "last")
+    shared = shared.join(last, "grp").join(last.select(F.col("grp").alias("_grp"), F.col("last").alias("_last")), "_grp")
+    least = lambda n: F.ceil(n * percent / 100)
+    reach = F.col("count") + F.when(F.col("last") <= F.col("_last"), least(F.col("n"))).otherwise(least(F.col("_n"))) - 1
+    shared = shared.where(reach * (100 + percent) >= (F.col("n") + F.col("_n")) * percent).select("grp", "_grp")
+    shared = shared.union(spread.where("lo != hi").select("grp", F.col("grp").alias("_grp")))
+    left = named.select("grp", F.col("rep").alias("a"), F.col("component").alias("ca"))
+    right = named.select(F.col("grp").alias("_grp"), F.col("rep").alias("b"), F.col("component").alias("cb"))
+    same = F.col("grp") == F.col("_grp")
+    return shared.join(left, "grp").join(right, "_grp").where((F.col("ca") != F.col("cb")) & (~same | (F.col("a") < F.col("b")))).select("a", "b")
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """Returns doc_id, n_shingles and component_id for each row of ``docs``."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = stored(_prefixes(docs, "text", "doc_id", percent), "prefixes")
+    key = ["s1", "s2", "n"]
+    heads = found.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("grp").alias("grp"), F.first(F.element_at("prefix", -1)).alias("last"))
+    classes = stored(heads.where("rep IS NOT NULL"), "classes")
+    groups = stored(classes.groupBy("grp").agg(F.min("rep").alias("gid"), F.first("last").alias("last"), F.count(F.lit(1)).alias("members")), "groups")
+
+    bucket = Window.partitionBy("token")
+    posting = found.where("n > 0").select("grp", "n", F.explode("prefix").alias("token")).repartition("token").distinct()
+    posting = stored(posting.withColumn("_of", F.count(F.lit(1)).over(bucket)).where("_of > 1").drop("_of"), "postings")
+
+    crowded = groups.where("members > 1")
+    in_group = classes.join(crowded.select("grp", "gid"), "grp").where("rep != gid").select(F.col("rep").alias("a"), F.col("gid").alias("b"))
+    links = stored(_verified(_likely(posting, groups, percent).union(in_group), docs, percent), "links")
+    comps = stored(components(links), "components").withColumnRenamed("node", "rep")
+
+    wanted = posting.select("grp").union(crowded.select("grp")).distinct()
+    named = classes.select("grp", "rep").join(wanted, "grp", "left_semi").join(comps, "rep", "left")
+    named = stored(named.withColumn("component", F.coalesce("component", "rep")), "named")
+    comps = components(links.union(_verified(_possible(posting, groups, named, percent), docs, percent)))
 
     of_class = classes.select(*key, "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select(*key, F.coalesce("component", "rep").alias("component"))
