@@ -11,10 +11,12 @@ as one shingle). Two documents link when their sets' Jaccard similarity is at le
    ``n - ceil(t n) + 1`` ones, their prefixes.
 3. Classes of identical prefix and size collapse into one group; a group stands in the
    posting list of each shingle of its prefix.
-4. A round that merges: every group picks the partner that most often stands first in its
-   posting lists, and that which most often precedes it; these pairs, and each member of a
-   group with the group's first, are verified, and verified pairs form components. A crowd
-   of near copies thus becomes few components through about as many pairs as members.
+4. Two rounds that merge: every group picks the partner that is most often the most
+   central of its posting lists (the one with the greatest share of its prefix in lists of
+   more than one), and that which most often precedes it by size; these pairs, and each
+   member of a group with the group's first, are verified, and verified pairs form
+   components. The second round picks among partners of other components. A crowd of near
+   copies thus becomes few components through about as many pairs as members.
 5. All pairs of groups that share a prefix shingle, are of compatible size, aren't yet in
    one component and can still reach the overlap (by what their prefixes share and what is
    left) are expanded to their members and verified exactly, as are the members of one
@@ -41,17 +43,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leftdeep.llm.components import components
+from leftdeep.llm.exchange import pack, unpack
 from leftdeep.llm.hashing import NOT_SPACE, batches, mix, shingles, word_hashes
 from leftdeep.shared import stored
 
 SHINGLE, PERCENT = 5, 80
-#: Counters of the sketch: 2**SKETCH_BITS, whatever the corpus (4 MB to each worker).
-SKETCH_BITS = 20
-CHUNK = 1 << 12
+#: Counters of the sketch: 2**SKETCH_BITS, whatever the corpus (a byte of each to a worker).
+SKETCH_BITS = 22
+CHUNK = 1 << 14
+#: Levels of the order go up by this many for each doubling of a counter over the mean.
+STEPS = 2
 #: Bits of the filter that finds the texts of candidate pairs: 8 MB to each worker.
 MARK_BITS = 26
-#: Percent of a set that a pair's counted prefix shingles must reach for the first round.
-LIKELY = 4
 U = np.uint64
 
 
@@ -86,28 +89,29 @@ def _sketch(docs: DataFrame, text_col: str) -> np.ndarray:
                 own += np.bincount((shingles(words, SHINGLE)[whole] >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(own)) if len(at) else 0
         if own.any():
             for i in range(0, len(own), CHUNK):
-                yield pd.DataFrame({"chunk": [i // CHUNK], "counts": [own[i : i + CHUNK].tobytes()]})
+                yield pd.DataFrame({"chunk": [i // CHUNK], "counts": [pack(own[i : i + CHUNK])]})
 
     def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for part in parts:
             for c, b in zip(part["chunk"], part["counts"], strict=True):
-                sums[c] = sums.get(c, 0) + np.frombuffer(b, np.int64)
+                sums[c] = sums.get(c, U(0)) + unpack(b)[0]
         if sums:
-            yield pd.DataFrame({"chunk": list(sums), "counts": [x.tobytes() for x in sums.values()]})
+            yield pd.DataFrame({"chunk": list(sums), "counts": [pack(x) for x in sums.values()]})
 
     schema = "chunk int, counts binary"
     rows = docs.select(text_col).mapInPandas(count, schema).repartition("chunk").mapInPandas(add, schema)
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in rows.toLocalIterator():  # 2**SKETCH_BITS numbers in all
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = unpack(bytes(r["counts"]))[0]
     return out
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """0 for counters about the mean; one more for each doubling beyond twice of it."""
-    over = counts / max(1.0, 2.0 * counts.mean())
-    return np.ceil(np.log2(np.maximum(over, 1))).astype(np.uint8)
+    """0 for counters that chance explains; then STEPS more for each doubling."""
+    mean = counts.mean()
+    over = counts / (mean + 4 * np.sqrt(mean) + 2)
+    return np.minimum(np.ceil(STEPS * np.log2(np.maximum(over, 1))), 31).astype(np.uint8)
 
 
 def _prefixes(docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataFrame:
@@ -181,15 +185,23 @@ def _fits(small: Column, large: Column, percent: int) -> Column:
     return small * 100 >= large * percent
 
 
-def _likely(posting: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """For each group one pair with the group that most often stands first in its posting
-    lists, and one with that which most often stands before it; few shared shingles: none."""
-    by_size = Window.partitionBy("token").orderBy("n", "grp")
-    near = posting.select("grp", "n", *[F.struct(f("grp").over(by_size).alias("grp"), f("n").over(by_size).alias("n")).alias(k) for k, f in (("first", F.first), ("lag", F.lag))])
-    near = near.select("grp", "n", F.explode(F.create_map(F.lit(0), F.col("first"), F.lit(1), F.col("lag"))).alias("way", "p"))
-    near = near.where((F.col("grp") != F.col("p.grp")) & _fits(F.col("p.n"), F.col("n"), percent))
-    count = near.groupBy("way", "grp", "n", F.col("p.grp").alias("_grp")).count().where(F.col("count") * 100 >= F.col("n") * LIKELY)
-    best = count.groupBy("way", "grp").agg(F.max_by("_grp", F.struct("count", "_grp")).alias("_grp")).select("grp", "_grp").distinct()
+def _likely(posting: DataFrame, groups: DataFrame, percent: int, comps: DataFrame | None = None) -> DataFrame:
+    """For each group the partners it shares most posting lists with: of the most central of
+    each list, and of those next to it by size. ``comps``: partners of the same component
+    don't count."""
+    rows = posting.withColumn("c", F.lit(None).cast("long")) if comps is None else posting.join(comps, "grp")
+    list_ = Window.partitionBy("token")
+    if comps is not None:
+        rows = rows.withColumns({"_lo": F.min("c").over(list_), "_hi": F.max("c").over(list_)}).where("_lo != _hi")
+    me = F.struct("c", "n", "grp")
+    near = rows.select("grp", "n", "c", F.first(me).over(list_.orderBy(F.desc("central"), "n", "grp")).alias("one"), F.lag(me).over(list_.orderBy("n", "grp")).alias("lag"))
+    near = near.select("grp", "n", "c", F.posexplode(F.array("one", "lag")).alias("way", "p"))
+    near = near.where((F.col("grp") != F.col("p.grp")) & _fits(F.least("n", "p.n"), F.greatest("n", "p.n"), percent))
+    if comps is not None:
+        near = near.where(F.col("c") != F.col("p.c"))
+    count = near.groupBy("way", "grp", F.col("p.grp").alias("_grp")).count()
+    best = count.groupBy("way", "grp").agg(F.max_by("_grp", F.struct("count", "_grp")).alias("_grp"))
+    best = best.select(F.least("grp", "_grp").alias("grp"), F.greatest("grp", "_grp").alias("_grp")).distinct()
     head = groups.select("grp", "gid")
     return best.join(head.withColumnRenamed("gid", "a"), "grp").join(head.select(F.col("grp").alias("_grp"), F.col("gid").alias("b")), "_grp").select("a", "b")
 
@@ -232,10 +244,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     bucket = Window.partitionBy("token")
     posting = found.where("n > 0").select("grp", "n", F.explode("prefix").alias("token")).repartition("token").distinct()
     posting = stored(posting.withColumn("_of", F.count(F.lit(1)).over(bucket)).where("_of > 1").drop("_of"), "postings")
+    central = posting.groupBy("grp", "n").agg((F.count(F.lit(1)) * 1000 / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).cast("int").alias("central"))
+    central_posting = posting.join(central.select("grp", "central"), "grp")
 
     crowded = groups.where("members > 1")
     in_group = classes.join(crowded.select("grp", "gid"), "grp").where("rep != gid").select(F.col("rep").alias("a"), F.col("gid").alias("b"))
-    links = stored(_verified(_likely(posting, groups, percent).union(in_group), docs, percent), "links")
+    links = stored(_verified(_likely(central_posting, groups, percent).union(in_group), docs, percent), "links")
+    comps = stored(components(links), "components").withColumnRenamed("node", "rep")
+    of_group = groups.join(comps.withColumnRenamed("rep", "gid"), "gid", "left").select("grp", F.coalesce("component", "gid").alias("c"))
+    links = stored(links.union(_verified(_likely(central_posting, groups, percent, of_group), docs, percent)), "links")
     comps = stored(components(links), "components").withColumnRenamed("node", "rep")
 
     wanted = posting.select("grp").union(crowded.select("grp")).distinct()
