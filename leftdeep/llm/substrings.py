@@ -241,10 +241,11 @@ def common_prefixes(ranks: list[np.ndarray], data: np.ndarray, a: np.ndarray, b:
     return out
 
 
-def longest_previous(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+def longest_previous(position: np.ndarray, common: np.ndarray, floor: int = 1) -> np.ndarray:
     """Longest previous factors of suffixes given in suffix order: ``position`` in the text,
     and ``common`` prefix with the suffix before. Each looks for its previous and its next
-    smaller position by following those its neighbours have found so far."""
+    smaller position by following those its neighbours have found so far, as long as the
+    common prefix reaches ``floor``; factors below that are only known to be below."""
     n = len(position)
     best = np.zeros(n, np.int64)
     for turned in (False, True):
@@ -253,11 +254,11 @@ def longest_previous(position: np.ndarray, common: np.ndarray) -> np.ndarray:
         to, least = np.arange(-1, n - 1), c.copy()
         if n:
             least[0] = 0
-        while len(open_ := np.flatnonzero((to >= 0) & (p[to] > p) & (least > 0))):
+        while len(open_ := np.flatnonzero((to >= 0) & (p[to] > p) & (least >= floor))):
             by = to[open_]
             least[open_] = np.minimum(least[open_], least[by])
             to[open_] = to[by]
-        least[to < 0] = 0
+        least[(to < 0) | ((p[to] > p) & (least < floor))] = 0
         best = np.maximum(best, least[::-1] if turned else least)
     return best
 
@@ -274,7 +275,7 @@ def repeated(strings: list[bytes]) -> list[np.ndarray]:
     position = start[order]
     common = np.zeros(len(position), np.int64)
     common[1:] = common_prefixes(ranks, data, position[1:], position[:-1], LENGTH)
-    twice = (longest_previous(position, common) >= LENGTH) | (longest_previous(-position, common) >= LENGTH)
+    twice = (longest_previous(position, common, LENGTH) >= LENGTH) | (longest_previous(-position, common, LENGTH) >= LENGTH)
     out = np.empty(len(start), bool)
     out[order] = twice
     return np.split(out, np.cumsum(windows)[:-1])
@@ -344,7 +345,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def answer(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _answer(group, rows, hot)
 
-    first = stored(asked.groupBy("level", "part").applyInPandas(answer, exchange.ASKED), "runs")
+    first = stored(asked.repartition(parts, "level", "part").groupBy("level", "part").applyInPandas(answer, exchange.ASKED), "runs")
     strings = exchange.meet(docs, first, id_col, text_col, _strings(parts), STRINGS, chunk_bytes)
-    second = stored(strings.groupBy("part").applyInPandas(_compare, exchange.ASKED), "compared")
+    second = stored(strings.repartition(parts, "part").groupBy("part").applyInPandas(_compare, exchange.ASKED), "compared")
     return exchange.meet(docs, first.union(second), id_col, text_col, _remove, RESULT, chunk_bytes)
