@@ -109,7 +109,8 @@ def runs(texts: list[bytes]) -> dict[str, np.ndarray]:
         lead = place[first] - first
         own = mix((sums[last + LENGTH] - sums[first]) * inverse[first] + lead.astype(U) * U(0x632BE59BD9B4E019) + (last - first).astype(U) * U(0x85157AF5))
         shift = base[piece[first]] - (ends - size)[piece[first]]
-        out.append((first + shift, last + shift, grams[place[first]] >> U(64 - exchange.KEY_BITS), own))
+        key = mix(grams[place[first]]) >> U(64 - exchange.KEY_BITS)  # minima are small: spread them again
+        out.append((first + shift, last + shift, key, own))
     if not out:
         return {"first": np.empty(0, np.int64), "last": np.empty(0, np.int64), "key": np.empty(0, U), "own": np.empty(0, U)}
     return dict(zip(("first", "last", "key", "own"), map(np.concatenate, zip(*out, strict=True)), strict=True))
