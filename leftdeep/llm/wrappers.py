@@ -33,6 +33,7 @@ import html as entities
 import pickle
 import re
 from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -226,6 +227,27 @@ def merge(a: tuple, b: tuple) -> tuple:
     return a[0], _text(a[1], b[1]), _fold(out)
 
 
+def _places(children: list[Node], items: list) -> list[tuple | None]:
+    """The wrapper's node for each of a page's children: they are folded and aligned as in
+    merging; one that stays alone takes the union of the items that look like it."""
+    alike: dict[tuple, list] = {}
+    for node, _, _ in items:
+        alike.setdefault(node[0], []).append(node)
+    if len(alike) == len(items):
+        return [alike[c.sig][0] if c.sig in alike else None for c in children]
+    runs, run_of = [], []
+    for c in children:
+        if not runs or runs[-1][0][0] != c.sig:
+            runs.append(((c.sig,),))
+        run_of.append(len(runs) - 1)
+    at = {x: items[y][0] for x, y in _align(runs, items)} if len(runs) <= LONGEST else {}
+    for x, (run,) in enumerate(runs):
+        if x not in at and run[0] in alike:
+            alike[run[0]] = [reduce(merge, alike[run[0]])]
+            at[x] = alike[run[0]][0]
+    return [at.get(x) for x in run_of]
+
+
 def closed(sig: tuple) -> bool:
     return sig[0] in CLOSED_TAGS or "[hidden]" in sig[1] or not CLOSED_WORDS.isdisjoint(sig[1])
 
@@ -255,14 +277,14 @@ def extract(page: Node, wrapper: tuple) -> str:
 
     def walk(node: Node, place: tuple | None, path: tuple, inside: bool) -> None:
         inside = inside or path in wanted
+        places = iter(_places([p for p in node.parts if not isinstance(p, str)], place[2] if place else []))
         for p in node.parts:
+            item = None if isinstance(p, str) else next(places)
             if isinstance(p, str):
                 if inside:
                     out.append(p)
             elif not closed(p.sig) or (not inside and p.sig[0] in WHOLE):
-                item = next((n for n, _, _ in place[2] if n[0] == p.sig), None) if place else None
-                if item is not None:
-                    walk(p, item, (*path, p.sig), inside)
+                walk(p, item, (*path, p.sig), inside)
 
     walk(page, wrapper, (), False)
     return "\n".join(out)

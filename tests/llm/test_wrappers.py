@@ -49,6 +49,15 @@ def test_markup_in_any_state():
     assert one(f"<article><p>{long}</p></article>") == long.strip()
 
 
+def test_like_siblings_apart():
+    assert one("<body><div>logo</div><nav>n</nav><div><article>text</article></div></body>") == "text"
+    assert one("<article><section><p>a</p></section><h2>t</h2><section><ul><li>b</li></ul></section></article>") == "a\nt\nb"
+    assert one("<article><div><p>a</p></div><h2>t</h2><div><blockquote>b</blockquote></div><h2>u</h2><div><table><tr><td>c</table></div></article>") == "a\nt\nb\nu\nc"
+    pages = [parse(f"<article><div><p>a</p></div>{x}<div><ul><li>b</ul></div></article>") for x in ("<h2>t</h2>", "", "<h2>t</h2><div>c</div><h3>u</h3>")]
+    host = merge(merge(of_page(pages[0]), of_page(pages[1])), of_page(pages[2]))
+    assert [extract(p, host) for p in pages] == ["a\nt\nb", "a\nb", "a\nt\nc\nu\nb"]
+
+
 def simple(page):
     """The test tables' pages, read plainly."""
     body = re.search(r"<article>(.*?)</article>", re.sub(r"<script>.*?</script>", "", page, flags=re.S), re.S)[1]
