@@ -15,8 +15,8 @@ Wrappers merge like pages do, so tasks build them for their own rows and the wra
 a host, one a task, merge in the end; no task holds a host's pages. A wrapper keeps at most
 as many items as there are kinds of places on the host's pages.
 
-From a wrapper the region of the article is read off: ``main`` or ``article`` elements, or
-else the body; in it, places for menus, headers, footers, asides, adverts, forms, notices,
+The region of the article is read off page by page, as a host may have several templates:
+a page's ``article`` elements, else its ``main``, or else its body; in it, places for menus, headers, footers, asides, adverts, forms, notices,
 comments and the like are closed. A page's text is what fills the open places of its
 host's wrapper, a line for each block, with white space inside a block as one space.
 
@@ -252,28 +252,30 @@ def closed(sig: tuple) -> bool:
     return sig[0] in CLOSED_TAGS or "[hidden]" in sig[1] or not CLOSED_WORDS.isdisjoint(sig[1])
 
 
-def regions(wrapper: tuple) -> set[tuple]:
-    """Paths of the wrapper's places that hold the article."""
+def regions(page: Node) -> set[tuple]:
+    """Paths of the page's places that hold the article. As a wrapper has all paths of its
+    pages, these are the wrapper's own paths that the page has."""
     found: dict[str, list[tuple]] = {"main": [], "article": [], "body": []}
 
-    def walk(node: tuple, path: tuple, inside: str) -> None:
-        for child, _, _ in node[2]:
-            if closed(child[0]) and child[0][0] not in WHOLE:
+    def walk(node: Node, path: tuple, inside: str) -> None:
+        for child in node.parts:
+            if isinstance(child, str) or (closed(child.sig) and child.sig[0] not in WHOLE):
                 continue
-            tag = "main" if "main" in child[0][1] and child[0][0] in ("main", "div", "section") else child[0][0]
-            here = (*path, child[0])
+            tag = "main" if "main" in child.sig[1] and child.sig[0] in ("main", "div", "section") else child.sig[0]
+            here = (*path, child.sig)
             if tag in found and tag != inside:
                 found[tag].append(here)
             walk(child, here, tag if tag in found else inside)
 
-    walk(wrapper, (), "")
-    whole = [p for p in found["article"] if not any(q != p and p[: len(q)] == q for q in found["article"])]
+    walk(page, (), "")
+    articles = set(found["article"])
+    whole = [p for p in articles if not any(p[:n] in articles for n in range(len(p)))]
     return set(whole or found["main"] or found["body"] or [()])
 
 
 def extract(page: Node, wrapper: tuple) -> str:
-    """The text in the open places of the wrapper's regions."""
-    wanted, out = regions(wrapper), []
+    """The text in the open places of the page's regions."""
+    wanted, out = regions(page), []
 
     def walk(node: Node, place: tuple | None, path: tuple, inside: bool) -> None:
         inside = inside or path in wanted

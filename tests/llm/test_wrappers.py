@@ -58,6 +58,12 @@ def test_like_siblings_apart():
     assert [extract(p, host) for p in pages] == ["a\nt\nb", "a\nb", "a\nt\nc\nu\nb"]
 
 
+def test_two_templates_on_one_host():
+    pages = [parse(f"<body>{x}</body>") for x in ("<article><p>a</p></article><p>x</p>", "<main><p>b</p></main><p>y</p>", "<p>c</p>")]
+    host = merge(merge(of_page(pages[0]), of_page(pages[1])), of_page(pages[2]))
+    assert [extract(p, host) for p in pages] == ["a", "b", "c"]
+
+
 def simple(page):
     """The test tables' pages, read plainly."""
     body = re.search(r"<article>(.*?)</article>", re.sub(r"<script>.*?</script>", "", page, flags=re.S), re.S)[1]
