@@ -17,8 +17,12 @@ as many items as there are kinds of places on the host's pages.
 
 The region of the article is read off page by page, as a host may have several templates:
 a page's ``article`` elements, else its ``main``, or else its body; in it, places for menus, headers, footers, asides, adverts, forms, notices,
-comments and the like are closed. A page's text is what fills the open places of its
-host's wrapper, a line for each block, with white space inside a block as one space.
+comments and the like are closed by a list of tags and class words. What else is template
+the wrapper decides: a line that is the same at its place, or somewhere in its repeated
+group, on all pages that have the place, of which ENOUGH are distinct. A page's text is
+what fills the other open places of its host's wrapper, a line for each block, with white
+space inside a block as one space. Template lines stay where a page has nothing else, as
+then nothing tells them from an article that was published several times.
 
 A null page is empty and has no text; so has a page whose region is empty. Pages without
 a host share the wrapper of the host "". Rows are independent otherwise: repeats add
@@ -34,6 +38,7 @@ import pickle
 import re
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -68,6 +73,9 @@ CLOSED_WORDS = set(
 #: Elements that their class doesn't close.
 WHOLE = ("html", "body", "main")
 BROADCAST, SALTS = 32 << 20, 16
+#: Distinct pages from which on a line that all of them have at one place is their template;
+#: two pages may share a sentence of their own.
+ENOUGH = 3
 #: Hosts that a task holds before it hands their wrappers on.
 HOSTS = 2_000
 #: Nesting beyond which elements only separate blocks, and items of a sequence beyond
@@ -162,8 +170,21 @@ def parse(page: str) -> Node:
     return root
 
 
-# A wrapper's node: (sig, text, items); text: None, a constant, or SLOT; items: a list of
-# (node, optional, repeated).
+# A wrapper's node: (sig, text, items, common); text: None, a constant, or SLOT; items: a list
+# of (node, optional, repeated); common: the lines that all pages with this place have there,
+# each with the least ENOUGH marks of the distinct pages it was met on.
+
+
+def _mark(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+
+
+def _common(a: dict, b: dict, beside: bool) -> dict:
+    """Of two places on different pages the lines of both; of places beside each other, that
+    become one repeated item, all lines."""
+    if not beside:
+        return {x: tuple(sorted({*a[x], *b[x]})[:ENOUGH]) for x in a if x in b}
+    return a | {x: tuple(sorted({*a.get(x, ()), *pages})[:ENOUGH]) for x, pages in b.items()}
 
 
 def _text(a, b):
@@ -178,22 +199,22 @@ def _fold(items: list) -> list:
     for node, optional, repeated in items:
         if out and out[-1][0][0] == node[0]:
             before = out[-1]
-            out[-1] = (merge(before[0], node), before[1] and optional, True)
+            out[-1] = (merge(before[0], node, True), before[1] and optional, True)
         else:
             out.append((node, optional, repeated))
     if len(out) > LONGEST:
         kinds: dict[tuple, tuple] = {}
         for node, _, _ in out:
-            kinds[node[0]] = merge(kinds[node[0]], node) if node[0] in kinds else node
+            kinds[node[0]] = merge(kinds[node[0]], node, True) if node[0] in kinds else node
         out = [(node, True, True) for node in kinds.values()]
     return out
 
 
-def of_page(node: Node) -> tuple:
-    """A page as the wrapper that fits it alone."""
+def of_page(node: Node, page: int = 0) -> tuple:
+    """A page as the wrapper that fits it alone; ``page``: its mark."""
     texts = [p for p in node.parts if isinstance(p, str)]
-    items = _fold([(of_page(p), False, False) for p in node.parts if not isinstance(p, str)])
-    return node.sig, ("\n".join(texts) if texts else None), items
+    items = _fold([(of_page(p, page), False, False) for p in node.parts if not isinstance(p, str)])
+    return node.sig, ("\n".join(texts) if texts else None), items, {_mark(t): (page,) for t in texts}
 
 
 def _align(a: list, b: list) -> list[tuple[int, int]]:
@@ -215,16 +236,17 @@ def _align(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
-def merge(a: tuple, b: tuple) -> tuple:
-    """The least wrapper of this form that fits what either fits."""
+def merge(a: tuple, b: tuple, beside: bool = False) -> tuple:
+    """The least wrapper of this form that fits what either fits; ``beside``: two places that
+    become one repeated item, not the same place on two sets of pages."""
     left, right, i, j = a[2], b[2], 0, 0
     out: list = []
     for x, y in [*_align(left, right), (len(left), len(right))]:
         out += [(n, True, r) for n, _, r in left[i:x]] + [(n, True, r) for n, _, r in right[j:y]]
         if x < len(left):
-            out.append((merge(left[x][0], right[y][0]), left[x][1] or right[y][1], left[x][2] or right[y][2]))
+            out.append((merge(left[x][0], right[y][0], beside), left[x][1] or right[y][1], left[x][2] or right[y][2]))
         i, j = x + 1, y + 1
-    return a[0], _text(a[1], b[1]), _fold(out)
+    return a[0], _text(a[1], b[1]), _fold(out), _common(a[3], b[3], beside)
 
 
 def _places(children: list[Node], items: list) -> list[tuple | None]:
@@ -274,7 +296,7 @@ def regions(page: Node) -> set[tuple]:
 
 
 def extract(page: Node, wrapper: tuple) -> str:
-    """The text in the open places of the page's regions."""
+    """The text in the open places of the page's regions, less the host's template."""
     wanted, out = regions(page), []
 
     def walk(node: Node, place: tuple | None, path: tuple, inside: bool) -> None:
@@ -284,12 +306,12 @@ def extract(page: Node, wrapper: tuple) -> str:
             item = None if isinstance(p, str) else next(places)
             if isinstance(p, str):
                 if inside:
-                    out.append(p)
+                    out.append((p, bool(place and place[3]) and len(place[3].get(_mark(p), ())) >= ENOUGH))
             elif not closed(p.sig) or (not inside and p.sig[0] in WHOLE):
                 walk(p, item, (*path, p.sig), inside)
 
     walk(page, wrapper, (), False)
-    return "\n".join(out)
+    return "\n".join([t for t, fixed in out if not fixed] or [t for t, _ in out])
 
 
 def host_of(url: str | None) -> str:
@@ -306,7 +328,7 @@ def _wrappers(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
         own: dict[str, tuple] = {}
         for part in parts:
             for url, page in zip(part[url_col], part[html_col], strict=True):
-                host, w = host_of(url), of_page(parse(page or ""))
+                host, w = host_of(url), of_page(parse(page or ""), _mark(page or ""))
                 own[host] = merge(own[host], w) if host in own else w
             if len(own) > HOSTS:
                 yield _frame(own)

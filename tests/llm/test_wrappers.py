@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from functools import reduce
 
 import pytest
 
@@ -64,6 +65,27 @@ def test_two_templates_on_one_host():
     assert [extract(p, host) for p in pages] == ["a", "b", "c"]
 
 
+LEGAL = """<body><article><h1>T{0}</h1><p>a{0}</p><p>Fixed words.</p></article></body>""", """<body><div class="legal">All rights.</div><div>
+<p>b{0}</p><p>c{0}</p></div><div class="site-info"><b>Site</b> info</div></body>"""
+
+
+def test_template_by_the_wrapper(spark):
+    rows = [(i, f"http://{host}/{i}", LEGAL[k].format(i)) for host, k, n in (("a.com", 0, 4), ("b.com", 1, 4), ("two.com", 1, 2)) for i in range(n)]
+    rows += [(i, "http://same.com", LEGAL[0].format(9)) for i in range(5)] + [(i, "http://alike.com", f"<i class={i}></i><p>same</p>") for i in range(4)]
+    got = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in got:
+        i, host = r["page_id"], r["url"].split("/")[2]
+        two = f"All rights.\nb{i}\nc{i}\nSite info"
+        assert r["text"] == {"a.com": f"T{i}\na{i}", "b.com": f"b{i}\nc{i}", "two.com": two, "same.com": "T9\na9\nFixed words.", "alike.com": "same"}[host]
+
+
+def test_lines_on_some_pages_only_are_no_template():
+    pages = [parse(f"<article><p>a{i}</p>{'<p>often</p>' if i % 3 else ''}</article>") for i in range(9)]
+    for order in (pages, pages[::-1], pages[1:] + pages[:1]):
+        host = reduce(merge, [of_page(p, int(p.parts[0].parts[0].parts[0][1:])) for p in order])
+        assert [extract(p, host) for p in pages] == [f"a{i}" + "\noften" * (i % 3 > 0) for i in range(9)]
+
+
 def simple(page):
     """The test tables' pages, read plainly."""
     body = re.search(r"<article>(.*?)</article>", re.sub(r"<script>.*?</script>", "", page, flags=re.S), re.S)[1]
