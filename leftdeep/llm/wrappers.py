@@ -36,6 +36,7 @@ from __future__ import annotations
 import html as entities
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
@@ -63,6 +64,7 @@ ENDED_BY = {
     "th": {"td", "th", "tr"},
     "option": {"option", "optgroup"},
 }
+ENDING = set().union(*ENDED_BY.values())
 LISTS = {"ul", "ol", "dl", "table", "select"}
 #: Words in class, id or role that close a place.
 CLOSED_WORDS = set(
@@ -70,6 +72,9 @@ CLOSED_WORDS = set(
     "notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login share sharing social comment comments disqus reply replies respond related recommended "
     "widget widgets toolbar pagination pager skip alert contentinfo complementary search byline".split()
 )
+#: Regions that may hold the article, the first that a page has.
+REGIONS = {"article": 1, "main": 2, "body": 4}
+ARTICLE = REGIONS["article"]
 #: Elements that their class doesn't close.
 WHOLE = ("html", "body", "main")
 BROADCAST, SALTS = 32 << 20, 16
@@ -78,8 +83,9 @@ BROADCAST, SALTS = 32 << 20, 16
 ENOUGH = 3
 #: Hosts that a task holds before it hands their wrappers on.
 HOSTS = 2_000
-#: Nesting beyond which elements only separate blocks, and items of a sequence beyond
-#: which it becomes one repeated group of its kinds of items.
+#: Nesting beyond which a wrapper takes all lines below as one place's (regions and closed
+#: places of the pages have no limit), and items of a sequence beyond which it becomes one
+#: repeated group of its kinds of items.
 DEEPEST, LONGEST = 100, 48
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -114,7 +120,14 @@ def parse(page: str) -> Node:
     root = Node(("", ()))
     path, at = [root], 0
     text: list[str] = []
-    flat: dict[str, int] = {}  # open elements below DEEPEST, which are breaks only
+    opened: Counter[str] = Counter()
+    ending: list[int] = []  # where in path lists and elements of ENDED_BY are
+
+    def cut(depth: int) -> None:
+        opened.subtract(n.sig[0] for n in path[depth:])
+        del path[depth:]
+        while ending and ending[-1] >= depth:
+            ending.pop()
 
     def flush() -> None:
         if text:
@@ -141,30 +154,30 @@ def parse(page: str) -> Node:
             pass
         elif m[1]:
             flush()
-            if flat.get(tag):
-                flat[tag] -= 1
-            elif any(n.sig[0] == tag for n in path[1:]):
-                while path.pop().sig[0] != tag:
-                    pass
+            if opened[tag]:
+                depth = len(path) - 1
+                while path[depth].sig[0] != tag:
+                    depth -= 1
+                cut(depth)
         else:
             flush()
             if path[-1].sig[0] == "p" or (len(tag) == 2 and tag[0] == "h" and re.fullmatch("h[1-6]", path[-1].sig[0])):
-                path.pop()
-            if tag in {t for ends in ENDED_BY.values() for t in ends}:
-                for i in range(len(path) - 1, 0, -1):
+                cut(len(path) - 1)
+            if tag in ENDING:
+                for i in reversed(ending):
                     own = path[i].sig[0]
                     if own in LISTS:
                         break
-                    if tag in ENDED_BY.get(own, ()):
-                        del path[i:]
+                    if tag in ENDED_BY[own]:
+                        cut(i)
                         break
-            if len(path) > DEEPEST:
-                flat[tag] = flat.get(tag, 0) + (tag not in VOID)
-                continue
             node = Node((tag, _words(m[3])))
             path[-1].parts.append(node)
             if tag not in VOID and not m[3].endswith("/"):
+                if tag in LISTS or tag in ENDED_BY:
+                    ending.append(len(path))
                 path.append(node)
+                opened[tag] += 1
     text.append(page[at:])
     flush()
     return root
@@ -210,10 +223,24 @@ def _fold(items: list) -> list:
     return out
 
 
-def of_page(node: Node, page: int = 0) -> tuple:
+def _all_texts(node: Node) -> list[str]:
+    out, stack = [], [node]
+    while stack:
+        part = stack.pop()
+        if isinstance(part, str):
+            out.append(part)
+        else:
+            stack += reversed(part.parts)
+    return out
+
+
+def of_page(node: Node, page: int = 0, depth: int = 0) -> tuple:
     """A page as the wrapper that fits it alone; ``page``: its mark."""
-    texts = [p for p in node.parts if isinstance(p, str)]
-    items = _fold([(of_page(p, page), False, False) for p in node.parts if not isinstance(p, str)])
+    if depth < DEEPEST:
+        texts = [p for p in node.parts if isinstance(p, str)]
+        items = _fold([(of_page(p, page, depth + 1), False, False) for p in node.parts if not isinstance(p, str)])
+    else:
+        texts, items = _all_texts(node), []
     return node.sig, ("\n".join(texts) if texts else None), items, {_mark(t): (page,) for t in texts}
 
 
@@ -274,44 +301,36 @@ def closed(sig: tuple) -> bool:
     return sig[0] in CLOSED_TAGS or "[hidden]" in sig[1] or not CLOSED_WORDS.isdisjoint(sig[1])
 
 
-def regions(page: Node) -> set[tuple]:
-    """Paths of the page's places that hold the article. As a wrapper has all paths of its
-    pages, these are the wrapper's own paths that the page has."""
-    found: dict[str, list[tuple]] = {"main": [], "article": [], "body": []}
-
-    def walk(node: Node, path: tuple, inside: str) -> None:
-        for child in node.parts:
-            if isinstance(child, str) or (closed(child.sig) and child.sig[0] not in WHOLE):
-                continue
-            tag = "main" if "main" in child.sig[1] and child.sig[0] in ("main", "div", "section") else child.sig[0]
-            here = (*path, child.sig)
-            if tag in found and tag != inside:
-                found[tag].append(here)
-            walk(child, here, tag if tag in found else inside)
-
-    walk(page, (), "")
-    articles = set(found["article"])
-    whole = [p for p in articles if not any(p[:n] in articles for n in range(len(p)))]
-    return set(whole or found["main"] or found["body"] or [()])
+def _lines(page: Node, wrapper: tuple) -> tuple[list[tuple[str, bool, int]], int]:
+    """The page's lines outside closed places, each with whether the wrapper has it as
+    template and the regions that it is in; and the regions that the page has."""
+    out: list[tuple[str, bool, int]] = []
+    found, stack = 0, [(page, wrapper, 0, 0)]
+    while stack:
+        node, place, depth, inside = stack.pop()
+        if isinstance(node, str):
+            out.append((node, bool(place and place[3]) and len(place[3].get(_mark(node), ())) >= ENOUGH, inside))
+            continue
+        tag, words = node.sig
+        if closed(node.sig) and (tag not in WHOLE or inside & ARTICLE):
+            continue
+        inside |= REGIONS.get("main" if "main" in words and tag in ("div", "section") else tag, 0)
+        found |= inside
+        if depth < DEEPEST:
+            places = iter(_places([p for p in node.parts if not isinstance(p, str)], place[2] if place else []))
+            below = [(p, place if isinstance(p, str) else next(places), depth + 1, inside) for p in node.parts]
+        else:
+            below = [(p, place, depth + 1, inside) for p in node.parts]
+        stack += reversed(below)
+    return out, found
 
 
 def extract(page: Node, wrapper: tuple) -> str:
     """The text in the open places of the page's regions, less the host's template."""
-    wanted, out = regions(page), []
-
-    def walk(node: Node, place: tuple | None, path: tuple, inside: bool) -> None:
-        inside = inside or path in wanted
-        places = iter(_places([p for p in node.parts if not isinstance(p, str)], place[2] if place else []))
-        for p in node.parts:
-            item = None if isinstance(p, str) else next(places)
-            if isinstance(p, str):
-                if inside:
-                    out.append((p, bool(place and place[3]) and len(place[3].get(_mark(p), ())) >= ENOUGH))
-            elif not closed(p.sig) or (not inside and p.sig[0] in WHOLE):
-                walk(p, item, (*path, p.sig), inside)
-
-    walk(page, wrapper, (), False)
-    return "\n".join([t for t, fixed in out if not fixed] or [t for t, _ in out])
+    lines, found = _lines(page, wrapper)
+    wanted = next((region for region in REGIONS.values() if found & region), 0)
+    own = [(t, fixed) for t, fixed, inside in lines if inside & wanted == wanted]
+    return "\n".join([t for t, fixed in own if not fixed] or [t for t, _ in own])
 
 
 def host_of(url: str | None) -> str:

@@ -86,6 +86,16 @@ def test_lines_on_some_pages_only_are_no_template():
         assert [extract(p, host) for p in pages] == [f"a{i}" + "\noften" * (i % 3 > 0) for i in range(9)]
 
 
+def test_depth_changes_nothing():
+    deep = "<div>" * 150
+    assert one(f"{deep}<nav>n</nav><p>a</p><div class=advert>x</div><p hidden>h</p><form>f</form><p>b") == "a\nb"
+    assert one(f"<body>{deep}<p>x</p><article><p>a<aside>s</aside></article><p>y") == "a"
+    assert one("<body>" + "<div>" * 30_000 + "<main>" + "<div><li>" * 30_000 + "a" + "</p>" * 30_000 + "<nav>n") == "a"
+    pages = [parse(f"<body>{deep}<p>fixed</p><p>a{i}</p>") for i in range(3)]
+    host = reduce(merge, [of_page(p, i) for i, p in enumerate(pages)])
+    assert [extract(p, host) for p in pages] == ["a0", "a1", "a2"]
+
+
 def simple(page):
     """The test tables' pages, read plainly."""
     body = re.search(r"<article>(.*?)</article>", re.sub(r"<script>.*?</script>", "", page, flags=re.S), re.S)[1]
