@@ -17,7 +17,10 @@ as many items as there are kinds of places on the host's pages.
 
 The region of the article is read off page by page, as a host may have several templates:
 a page's ``article`` elements, else its ``main``, or else its body; in it, places for menus, headers, footers, asides, adverts, forms, notices,
-comments and the like are closed by a list of tags and class words. What else is template
+comments and the like are closed by a list of tags and class words. A class word alone
+closes no element that is needed: an article or main inside is the region if it has more
+text than what is open without it, and where a region has no other text, the element that
+holds most of it is opened, unless all its words are on the list. What else is template
 the wrapper decides: a line that is the same at its place, or somewhere in its repeated
 group, on all pages that have the place, of which ENOUGH are distinct. A page's text is
 what fills the other open places of its host's wrapper, a line for each block, with white
@@ -40,6 +43,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -73,8 +77,7 @@ CLOSED_WORDS = set(
     "widget widgets toolbar pagination pager skip alert contentinfo complementary search byline".split()
 )
 #: Regions that may hold the article, the first that a page has.
-REGIONS = {"article": 1, "main": 2, "body": 4}
-ARTICLE = REGIONS["article"]
+REGIONS = ("article", "main", "body")
 #: Elements that their class doesn't close.
 WHOLE = ("html", "body", "main")
 BROADCAST, SALTS = 32 << 20, 16
@@ -298,39 +301,106 @@ def _places(children: list[Node], items: list) -> list[tuple | None]:
 
 
 def closed(sig: tuple) -> bool:
-    return sig[0] in CLOSED_TAGS or "[hidden]" in sig[1] or not CLOSED_WORDS.isdisjoint(sig[1])
-
-
-def _lines(page: Node, wrapper: tuple) -> tuple[list[tuple[str, bool, int]], int]:
-    """The page's lines outside closed places, each with whether the wrapper has it as
-    template and the regions that it is in; and the regions that the page has."""
-    out: list[tuple[str, bool, int]] = []
-    found, stack = 0, [(page, wrapper, 0, 0)]
-    while stack:
-        node, place, depth, inside = stack.pop()
-        if isinstance(node, str):
-            out.append((node, bool(place and place[3]) and len(place[3].get(_mark(node), ())) >= ENOUGH, inside))
-            continue
-        tag, words = node.sig
-        if closed(node.sig) and (tag not in WHOLE or inside & ARTICLE):
-            continue
-        inside |= REGIONS.get("main" if "main" in words and tag in ("div", "section") else tag, 0)
-        found |= inside
-        if depth < DEEPEST:
-            places = iter(_places([p for p in node.parts if not isinstance(p, str)], place[2] if place else []))
-            below = [(p, place if isinstance(p, str) else next(places), depth + 1, inside) for p in node.parts]
-        else:
-            below = [(p, place, depth + 1, inside) for p in node.parts]
-        stack += reversed(below)
-    return out, found
+    return sig[0] in CLOSED_TAGS or "[hidden]" in sig[1]
+
+
+def shut(sig: tuple) -> bool:
+    """Whether its class closes the element, if it isn't needed."""
+    return not CLOSED_WORDS.isdisjoint(sig[1])
+
+
+class Line(NamedTuple):
+    """A line outside closed places. ``fixed``: the wrapper has it as template; ``shut``: the
+    innermost element around it that its class shuts (0: none); ``regions``: of those kinds
+    of REGIONS it is in, the number of the region and the shut element around that."""
+
+    text: str
+    fixed: bool
+    shut: int
+    regions: dict[str, tuple[int, int]]
+
+
+class Lines:
+    """A page's lines, its shut elements (their outer ones; whether to open them at need) and
+    the kinds of regions that it has in the open."""
+
+    def __init__(self, page: Node, wrapper: tuple):
+        self.lines: list[Line] = []
+        self.outer, self.mixed = [0], [True]
+        self.found: set[str] = set()
+        number, stack = 0, [(page, wrapper, 0, 0, {})]
+        while stack:
+            node, place, depth, around, regions = stack.pop()
+            if isinstance(node, str):
+                fixed = bool(place and place[3]) and len(place[3].get(_mark(node), ())) >= ENOUGH
+                self.lines.append(Line(node, fixed, around, regions))
+                continue
+            (tag, words), number = node.sig, number + 1
+            whole = tag in WHOLE and "article" not in regions
+            if closed(node.sig) and not whole:
+                continue
+            if shut(node.sig) and not whole:
+                self.outer.append(around)
+                self.mixed.append(not CLOSED_WORDS.issuperset(words))
+                around = len(self.outer) - 1
+            kind = "main" if "main" in words and tag in ("div", "section") else tag
+            if kind in REGIONS and kind not in regions:
+                regions = {**regions, kind: (number, around)}
+                if not around:
+                    self.found.add(kind)
+            if depth < DEEPEST:
+                places = iter(_places([p for p in node.parts if not isinstance(p, str)], place[2] if place else []))
+                below = [(p, place if isinstance(p, str) else next(places), depth + 1, around, regions) for p in node.parts]
+            else:
+                below = [(p, place, depth + 1, around, regions) for p in node.parts]
+            stack += reversed(below)
+
+    def of(self, kind: str | None) -> list[Line]:
+        """The lines of all regions of a kind (None: of the page), less what is shut in them;
+        of a region without any, those of the shut element that holds most of it."""
+        own: dict[tuple[int, int], list[Line]] = {}
+        for line in self.lines:
+            if kind is None or kind in line.regions:
+                own.setdefault(line.regions[kind] if kind else (0, 0), []).append(line)
+        out = []
+        for (_, base), lines in own.items():
+            bare = [x for x in lines if x.shut == base]
+            out += bare if _size(bare) else self._opened(lines, base) or bare
+        return out
+
+    def _opened(self, lines: list[Line], base: int) -> list[Line]:
+        size: Counter[int] = Counter()
+        for x in lines:
+            size[x.shut] += _size([x])
+        total, inner = Counter(size), {}
+        for i in range(max(size), base, -1):
+            if total[i]:
+                total[self.outer[i]] += total[i]
+                inner.setdefault(self.outer[i], []).append(i)
+        at = base
+        while not size[at]:
+            best = max((i for i in inner.get(at, ()) if self.mixed[i]), key=lambda i: total[i], default=0)
+            if 2 * total[best] <= total[at] or not best:
+                return []
+            at = best
+        return [x for x in lines if x.shut == at]
+
+
+def _size(lines: list[Line]) -> int:
+    return sum(len(x.text) for x in lines if not x.fixed)
 
 
 def extract(page: Node, wrapper: tuple) -> str:
     """The text in the open places of the page's regions, less the host's template."""
-    lines, found = _lines(page, wrapper)
-    wanted = next((region for region in REGIONS.values() if found & region), 0)
-    own = [(t, fixed) for t, fixed, inside in lines if inside & wanted == wanted]
-    return "\n".join([t for t, fixed in own if not fixed] or [t for t, _ in own])
+    lines = Lines(page, wrapper)
+    kind = next((k for k in REGIONS if k in lines.found), None)
+    own = lines.of(kind)
+    for held in REGIONS[: REGIONS.index(kind) if kind else None]:  # a better kind, in a shut element only
+        inner = lines.of(held)
+        if _size(inner) > _size([x for x in own if held not in x.regions]):
+            own = inner
+            break
+    return "\n".join([x.text for x in own if not x.fixed] or [x.text for x in own])
 
 
 def host_of(url: str | None) -> str:

@@ -96,6 +96,27 @@ def test_depth_changes_nothing():
     assert [extract(p, host) for p in pages] == ["a0", "a1", "a2"]
 
 
+@pytest.mark.parametrize("words", ["content has-sidebar", "no-sidebar", "layout-sidebar-right", "post with-comments"])
+def test_layouts_are_not_closed(words):
+    text = "<p>some text</p><p>more</p><div class=comments><p>nice, " + "and long " * 9 + "</p></div>"
+    for page in (
+        f"<body><div class='{words}'><article>{text}</article></div><p>tiny</p></body>",
+        f"<body><article class='{words}'>{text}</article></body>",
+        f"<body><main><div class='{words}'><article>{text}</article></div></main></body>",
+        f"<body><div class='{words}'><main>{text}</main></div></body>",
+        f"<body><article><div class='{words}'><p>some text</p><p>more</p></div></article></body>",
+        f"<body><div class='{words}'><div class='{words}'><p>some text</p><p>more</p></div><div class='share-box'>s</div></div></body>",
+    ):
+        assert one(page) == "some text\nmore", page
+
+
+def test_class_words_still_close():
+    assert one("<body><p>real text</p><div class='related'><article>x</article></div></body>") == "real text"
+    assert one("<body><article>real<div class='comments'><article class='comment'>a long comment</article></div></article></body>") == "real"
+    assert one("<body><div class='cookie notice'>we use them</div></body>") == ""
+    assert one("<body><p>a</p><div class='comments'><p>a long comment</p></div></body>") == "a"
+
+
 def simple(page):
     """The test tables' pages, read plainly."""
     body = re.search(r"<article>(.*?)</article>", re.sub(r"<script>.*?</script>", "", page, flags=re.S), re.S)[1]
