@@ -7,7 +7,8 @@ columns of ``documents``:
 1. quality: documents that fail the base rules or lie too far from their language go.
 2. near_duplicates: of each group of linked documents the one of least doc_id stays (rows
    that repeat it: one of them).
-3. decontamination: documents that hold a window of a benchmark item go.
+3. decontamination: documents that hold a window of a benchmark item go (also of one
+   without an id).
 4. pseudonyms: personal data in the text is replaced; n_chars follows the new text.
 5. tokens: each text as byte-level BPE ids, with its length.
 """
@@ -42,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), nameless=True)
     return found.where("n_hit = 0").select(*docs.columns)
 
 

@@ -9,7 +9,8 @@ looked up whole. Every shared window has a shared fingerprint, so none is missed
 The benchmark comes to the workers in blocks of at most ``block_words`` words, one pass
 over the documents for each, with the hits so far written in between; the documents are
 never shuffled. Null texts and texts without words have no windows. Items without an id
-are left out; items that share an id count once. Document rows are independent of each
+are left out unless ``nameless`` is set: then their windows are hits like others, and only
+the list of items lacks them. Items that share an id count once. Document rows are independent of each
 other, so repeats have no effect, and an empty table on either side gives no hits.
 Existing columns with an output's name are replaced.
 """
@@ -46,7 +47,7 @@ def fingerprints(words: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """One block of the benchmark: fingerprints and windows by their length."""
 
-    def __init__(self, items: list[tuple[str, str | None]], span: int = SPAN):
+    def __init__(self, items: list[tuple[str | None, str | None]], span: int = SPAN):
         self.items = [i for i, _ in items]
         parts: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
         for first, texts in batches([t for _, t in items]):
@@ -110,13 +111,13 @@ def find(index: Index, texts: list[str | None], before: list[tuple]) -> Iterator
             if len(own):
                 spans = set(zip((at[own] - begins[i]).tolist(), (at[own] + n[own] - begins[i]).tolist(), strict=True))
                 hits = merged([*zip(hits[::2], hits[1::2], strict=True), *spans])
-                items = sorted({*items, *(index.items[j] for j in np.unique(item[own]))})
+                items = sorted({*items, *(index.items[j] for j in np.unique(item[own]))} - {None})
             yield int(begins[i + 1] - begins[i]), hits, items
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str | None]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int, nameless: bool) -> Iterator[list[tuple[str | None, str | None]]]:
     part, size = [], 0
-    rows = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+    rows = benchmark.where(F.lit(nameless) | F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
     for r in rows.toLocalIterator():
         n = len(r["t"] or "") // 2 + 1  # words at most
         if part and size + n > limit:
@@ -139,13 +140,13 @@ def _look_up(index):
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, block_words: int = BLOCK_WORDS
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, block_words: int = BLOCK_WORDS, nameless: bool = False
 ) -> DataFrame:
     """``docs`` with n_words, hits (flattened spans of hit words), n_hit and items (ids as
     text, sorted)."""
     result = "_decontaminated"
     out = docs.withColumn(result, F.from_json(F.lit('{"hits":[],"items":[]}'), RESULT))
-    for number, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_words)):
+    for number, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_words, nameless)):
         if number:
             out = stored(out, "decontaminated")
         index = docs.sparkSession.sparkContext.broadcast(Index(block, span))

@@ -69,6 +69,15 @@ def test_against_brute_force_in_one_block_and_in_several(spark):
         assert found == sorted(want)
 
 
+def test_items_without_an_id_on_demand(spark):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    named = [("?" if i is None else i, t) for i, t in ITEMS]
+    want = [(i, n, hit, [x for x in ids if x != "?"]) for i, n, hit, ids in brute(rows(), named)]
+    for limit in (10_000, 30):
+        got = decontaminate.contamination(frame(spark, rows()), bench, block_words=limit, nameless=True).collect()
+        assert sorted((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in got) == sorted(want)
+
+
 def test_empty_tables(spark):
     docs, bench = frame(spark, corpus()), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0

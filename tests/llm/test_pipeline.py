@@ -59,3 +59,10 @@ def test_stages_on_awkward_rows(spark, awkward):
         assert stage(spark, docs.limit(0), awkward).count() == 0
         docs = spark.createDataFrame(out.collect(), docs.schema)
     assert {"doc_id", "ids", "n_tokens"} <= set(corpus_pipeline.STAGES[-1][1](spark, docs, awkward).columns)
+
+
+def test_decontamination_by_items_without_an_id(spark, tmp_path):
+    passage = "eins zwei drei vier fünf sechs sieben acht neun zehn elf"
+    pq.write_table(pa.table({"item_id": pa.array([None, 1], pa.int64()), "text": [passage, "no such words here"]}), tmp_path / "benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"a {passage} b"), (2, "clean")], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()] == [2]
