@@ -6,7 +6,9 @@ columns of ``documents``:
 
 1. quality: documents that fail the base rules or lie too far from their language go.
 2. near_duplicates: of each group of linked documents the one of least doc_id stays (rows
-   that repeat it: one of them).
+   that repeat it: one of them). Rows without an id are linked by their texts like others;
+   one of them stays only in a group without a named document. Those without words have
+   no links, so all stay.
 3. decontamination: documents that hold a window of a benchmark item go (also of one
    without an id).
 4. pseudonyms: personal data in the text is replaced; n_chars follows the new text.
@@ -35,11 +37,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = jaccard.link(docs)
-    firsts = linked.where("doc_id = component_id").select("doc_id").distinct()
-    rows = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    kept = docs.join(firsts, "doc_id", "left_semi").withColumn("_row", F.row_number().over(rows)).where("_row = 1").drop("_row")
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    nameless = F.col("doc_id").isNull()
+    if docs.where(nameless).isEmpty():
+        linked = jaccard.link(docs)
+        firsts = linked.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+        named, blank = docs.withColumn("_id", F.col("doc_id")), docs.limit(0)
+    else:
+        # Rows without an id are linked under a hash of their text, and come after named ones.
+        no_words = nameless & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        named, blank = docs.where(~no_words).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), docs.where(no_words)
+        linked = jaccard.link(named, "_id").withColumnRenamed("doc_id", "_id")
+        hashed = named.where(nameless).select("_id", F.lit(True).alias("_hashed")).distinct()
+        least = F.coalesce(F.min(F.when(F.col("_hashed").isNull(), F.col("_id"))), F.min("_id"))
+        firsts = linked.join(hashed, "_id", "left").groupBy("component_id").agg(least.alias("_id")).select("_id").distinct()
+    rows = Window.partitionBy("_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    kept = named.join(firsts, "_id", "left_semi").withColumn("_row", F.row_number().over(rows)).where("_row = 1")
+    return kept.select(*docs.columns).unionByName(blank)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,15 @@ def test_decontamination_by_items_without_an_id(spark, tmp_path):
     pq.write_table(pa.table({"item_id": pa.array([None, 1], pa.int64()), "text": [passage, "no such words here"]}), tmp_path / "benchmark.parquet")
     docs = spark.createDataFrame([(1, f"a {passage} b"), (2, "clean")], "doc_id long, text string")
     assert [r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_near_duplicates_without_an_id(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(100))
+    rows = [(7, text(1)), (9, text(1)), (None, text(1)), (None, text(1) + " more"), (None, text(2)), (None, text(2)), (None, text(2) + " more"), (8, text(3))]
+    rows += [(None, None), (None, None), (None, " \n"), (5, None), (6, ""), (None, text(4))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(i for i, _ in out if i is not None) == [5, 6, 7, 8]
+    free = [t for i, t in out if i is None]
+    assert sorted(t for t in free if t and t.strip())[1:] == [text(4)] and len([t for t in free if t and t.startswith("w2x0 ")]) == 1
+    assert len(free) == 5 and free.count(None) == 2 and free.count(" \n") == 1
