@@ -12,7 +12,8 @@ columns of ``documents``:
 3. decontamination: documents that hold a window of a benchmark item go (also of one
    without an id).
 4. pseudonyms: personal data in the text is replaced; n_chars follows the new text.
-5. tokens: each text as byte-level BPE ids, with its length.
+5. tokens: each text as byte-level BPE ids, with their number and the SHA-256 of the bytes
+   that they decode to.
 """
 
 from __future__ import annotations
@@ -67,8 +68,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    out = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    out = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Stage]] = [

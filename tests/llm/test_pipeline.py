@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -78,3 +80,9 @@ def test_near_duplicates_without_an_id(spark):
     free = [t for i, t in out if i is None]
     assert sorted(t for t in free if t and t.strip())[1:] == [text(4)] and len([t for t in free if t and t.startswith("w2x0 ")]) == 1
     assert len(free) == 5 and free.count(None) == 2 and free.count(" \n") == 1
+
+
+def test_tokens_are_decoded(spark):
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in corpus(5)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.tokens(spark, docs, "").collect()}
+    assert got == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in corpus(5)}
