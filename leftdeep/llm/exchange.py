@@ -1,10 +1,15 @@
 """Questions that chunks of a corpus put to tables spread over parts by key.
 
-A chunk is a run of a partition's rows with about ``chunk_bytes`` of text. It sorts the
-distinct keys it needs; their ranges go to the parts as packed arrays; a part answers
-with one number for each key, in the same order, so the keys need not travel back. Then
-chunks and answers meet. A chunk's name is a hash of its content: a second scan of the
-same input, or a task that runs again, names it alike.
+A chunk is a run of a partition's rows with about ``chunk_bytes`` of text. Chunks are cut
+once and written to the shared folder; all later steps read them there, so that no step
+depends on the order in which a scan yields its rows. A chunk sorts the distinct keys it
+needs; their ranges go to the parts as packed arrays; a part answers with one number for
+each key, in the same order, so the keys need not travel back. Then chunks and answers
+meet. A chunk's name is a hash of its content: chunks of equal content share their answers.
+
+A chunk sends a part one array, or none if it has no key there. So there are never more
+arrays than distinct keys of chunks, and what moves is in proportion to the corpus; while
+a chunk has many more keys than there are parts, an array holds many keys.
 """
 
 from __future__ import annotations
@@ -19,6 +24,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leftdeep.shared import stored
+
+#: Text of a chunk, and text whose keys a part takes.
 CHUNK_BYTES = PART_BYTES = 16 << 20
 KEY_BITS = 56
 ASKED = "level int, part int, chunk string, blob binary"
@@ -102,30 +110,47 @@ def parts_for(docs: DataFrame, text_col: str, part_bytes: int = PART_BYTES) -> i
     return max(1, -(-total // part_bytes))
 
 
-def ask(docs: DataFrame, id_col: str, text_col: str, of_chunk: Callable[[str, list, list[bytes]], Iterator[pd.DataFrame]], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def held(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The chunks of ``docs``: (chunk, held)."""
+
+    def cut(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        squeeze = zstandard.ZstdCompressor(level=3)
         for name, ids, texts in chunks(rows, id_col, text_col, chunk_bytes):
-            yield from of_chunk(name, ids, texts)
+            yield pd.DataFrame({"chunk": [name], "held": [squeeze.compress(pickle.dumps((ids, texts)))]})
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInPandas(run, ASKED)
+    return stored(docs.select(F.col(id_col).cast("long"), text_col).mapInPandas(cut, "chunk string, held binary"), "chunks")
 
 
-def meet(
-    docs: DataFrame, answers: DataFrame, id_col: str, text_col: str, of_chunk: Callable[[str, list, list[bytes], pd.DataFrame], Iterator[pd.DataFrame]], schema: str, chunk_bytes: int = CHUNK_BYTES
-) -> DataFrame:
-    """``of_chunk`` of each chunk and its answers. ``docs`` must be what was given to ``ask``."""
+def _opened(blob: bytes) -> tuple[list, list[bytes]]:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
-    def held(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for name, ids, texts in chunks(rows, id_col, text_col, chunk_bytes):
-            yield pd.DataFrame({"chunk": [name], "held": [squeeze.compress(pickle.dumps((ids, texts)))]})
 
-    def run(key: tuple, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for blob in texts["held"]:
-            ids, some = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
-            out += list(of_chunk(key[0], ids, some, found))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame()
+def ask(chunked: DataFrame, of_chunk: Callable[[str, list, list[bytes]], Iterator[pd.DataFrame]]) -> DataFrame:
+    """What ``of_chunk`` asks, for each distinct chunk's name, ids and texts."""
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            for name, blob in zip(part["chunk"], part["held"], strict=True):
+                yield from of_chunk(name, *_opened(blob))
+
+    return chunked.mapInPandas(run, ASKED)
 
-    packed = docs.select(F.col(id_col).cast("long"), text_col).mapInPandas(held, "chunk string, held binary")
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, schema)
+
+def meet(chunked: DataFrame, answers: DataFrame, of_chunk: Callable[[str, list, list[bytes], pd.DataFrame], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``of_chunk`` of each chunk and its answers. One chunk at a time is held."""
+    last = 1 << 30  # sorts a chunk behind its answers
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, own = None, []
+        for part in rows:
+            for i, (chunk, level) in enumerate(zip(part["chunk"], part["level"], strict=True)):
+                if chunk != name:
+                    name, own = chunk, []
+                if level != last:
+                    own.append((level, part["part"].iat[i], part["blob"].iat[i]))
+                    continue
+                yield from of_chunk(name, *_opened(part["blob"].iat[i]), pd.DataFrame(own, columns=["level", "part", "blob"]))
+
+    texts = chunked.select(F.lit(last).alias("level"), F.lit(0).alias("part"), "chunk", F.col("held").alias("blob"))
+    both = answers.select("level", "part", "chunk", "blob").unionByName(texts)
+    return both.repartition("chunk").sortWithinPartitions("chunk", "level", "part").mapInPandas(run, schema)

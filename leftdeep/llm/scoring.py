@@ -1,26 +1,30 @@
 """Language-model scores from a weighted backoff automaton.
 
-The model is an interpolated bigram model over words (lower case, cut at white space)
-and an end token. As an automaton: each training word, and the start of a text, is a
-state; a bigram of the training texts is an arc from its first word's state, weighted
-with log10 of its smoothed probability; every state has a failure arc to the root, which
-has an arc for each word and one for unknown ones. A text is scored by one traversal from
-left to right: take the state's arc if there is one, else the failure arc and the root's,
-add the weights, and go on from the state of the word just read. Since that state is the
-word itself, a chunk's traversals are array look-ups.
-
-    root(w)   = (c(w) - DISCOUNT) / N, unknown words together DISCOUNT * V / N
-    failure h = max(LEAST_BACKOFF, RARE / (c(h) + RARE))          (called b)
-    arc (h,w) = (1 - b) * c(hw) / c(h) + b * root(w)
-
-Probabilities of all words after any h add up to 1.
+The model is interpolated over words (lower case, cut at white space) and an end token,
+for n-grams of up to ``order`` tokens. As an automaton: each history of up to order - 1
+tokens that occurs in the training texts is a state, the root is the empty one; an n-gram
+of the training texts is an arc from its history's state, weighted with log10 of its
+smoothed probability; every state has a failure arc, weighted with log10 of its backoff
+weight, to the state without its oldest token. The root has an arc for each word and one
+for unknown ones. A text is scored by one traversal from left to right that carries the
+state: it follows failure arcs until the state has an arc for the token, takes it, adds all
+weights on the way, and goes on from the longest state that the tokens read so far end in.
+
+    root(w)       = (c(w) - DISCOUNT) / N, unknown words together DISCOUNT * V / N
+    backoff of h  = max(LEAST_BACKOFF, RARE / (c(h) + RARE))          (called b)
+    arc (h,w)     = (1 - b) * c(hw) / c(h) + b * p(w after h without its oldest token)
+
+Probabilities of all words after any h add up to 1. As the state before a token is made of
+the tokens before it, all of a chunk's traversals advance together, level by level.
 
 Counts cover all training documents and nothing is pruned. No task holds the whole
-automaton: chunks of documents ask for the counts of their own words and bigrams
-(see exchange), so what is gathered grows with the corpus and memory doesn't. Keys are
-56-bit hashes. Null and empty texts hold just the end token. A null id counts as a
-training one. Repeated rows count each time. Without training texts all words are unknown
-and every score is 0. An empty table gives an empty result.
+automaton: chunks of documents ask for the counts of their own n-grams (see exchange), so
+what is gathered grows with the corpus and memory doesn't. Keys are 56-bit hashes.
+
+Ids are integers. Null and empty texts hold just the end token. A null id counts as a
+training one. Repeated rows count each time. A text of any length is scored whole. Only
+the two named columns are read, so that no other can clash. Without training texts all
+words are unknown and every score is 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ U = np.uint64
 END, START = U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179)
 DISCOUNT, LEAST_BACKOFF, RARE = 0.75, 0.6, 4.0
 FOLDS, HELD_OUT = 5, 1
+#: Longest n-grams.
+ORDER = 3
 UNIT = 1 << 20
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -70,21 +76,23 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.repeat(np.arange(len(counts)), counts)
 
 
-def histories(tokens: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """The token before each; START at the beginning of a text."""
-    before = np.concatenate(([START], tokens[:-1]))
-    before[np.concatenate(([True], text[1:] != text[:-1]))] = START
-    return before
-
-
-def keys_of(tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of words and of bigrams."""
+def grams(tokens: np.ndarray, text: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n from 1 to ``order``: the key of the n-gram that ends at each token, and whether
+    there is one. START stands before each text and begins n-grams, but is none."""
+    new = np.concatenate(([True], text[1:] != text[:-1]))
+    place = np.arange(len(tokens)) - np.flatnonzero(new)[np.cumsum(new) - 1]
     drop = U(64 - exchange.KEY_BITS)
-    return tokens >> drop, mix(before * U(0x9E3779B97F4A7C15) + tokens) >> drop
+    out, run = [(tokens >> drop, np.ones(len(tokens), bool))], tokens
+    for n in range(2, order + 1):
+        back = np.roll(tokens, n - 1)
+        back[place == n - 2] = START
+        run = mix(back * U(0x9E3779B97F4A7C15) + run + U(n))
+        out.append((run >> drop, place >= n - 2))
+    return out
 
 
 class Automaton:
-    """The part of the automaton that some texts touch: counts by word and by bigram."""
+    """The part of the automaton that some texts touch, by the counts of their n-grams."""
 
     def __init__(self, n: int, v: int, starts: int):
         self.n, self.v, self.starts = n, v, starts
@@ -96,24 +104,29 @@ class Automaton:
 
     @staticmethod
     def failure(state: np.ndarray) -> np.ndarray:
-        """Of states by their count; where there is no state the traversal is at the root."""
+        """Backoff weights of states by their count; 1 where there is no state."""
         return np.where(state > 0, np.maximum(LEAST_BACKOFF, RARE / (state + RARE)), 1.0)
 
-    def traverse(self, word: np.ndarray, state: np.ndarray, bigram: np.ndarray) -> np.ndarray:
-        """log10 probabilities of tokens by the counts of word, state and bigram."""
-        root, failure = self.root(word), self.failure(state)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            arc = np.log10((1 - failure) * bigram / np.maximum(state, 1) + failure * root)
-            return np.where(bigram > 0, arc, np.log10(failure) + np.log10(root))
+    def traverse(self, counts: list[np.ndarray], states: list[np.ndarray]) -> np.ndarray:
+        """log10 weights of tokens. ``counts``: of the n-grams that end at each token, for n
+        from 1 on; ``states``: of the histories of one token, two and so on before it."""
+        arc = self.root(counts[0])
+        weight = np.log10(arc)
+        for count, state in zip(counts[1:], states, strict=True):
+            b = self.failure(state)
+            arc = (1 - b) * count / np.maximum(state, 1) + b * arc
+            # With an arc here the failure arcs below aren't followed; else this one is as well.
+            weight = np.where(count > 0, np.log10(arc), np.log10(b) + weight)
+        return weight
 
 
-def _ask(parts: int):
+def _ask(parts: int, order: int):
     def of_chunk(name: str, ids: list, texts: list[bytes]) -> Iterator[pd.DataFrame]:
         tokens, text = tokens_of(texts)
         trains = np.array([not is_held_out(i) for i in ids], float)[text]
-        for level, keys in enumerate(keys_of(tokens, histories(tokens, text)), 1):
-            distinct, at = np.unique(keys, return_inverse=True)
-            yield exchange.asked(level, name, distinct, parts, np.bincount(at, trains).astype(U))
+        for level, (keys, real) in enumerate(grams(tokens, text, order), 1):
+            distinct, at = np.unique(keys[real], return_inverse=True)
+            yield exchange.asked(level, name, distinct, parts, np.bincount(at, trains[real], len(distinct)).astype(U))
 
     return of_chunk
 
@@ -131,11 +144,25 @@ def _count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"level": key[0], "part": key[1], "chunk": [*rows["chunk"], ""], "blob": [*blobs, exchange.pack(stats)]})
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = exchange.CHUNK_BYTES, part_bytes: int = exchange.PART_BYTES) -> DataFrame:
+def _counts(found: pd.DataFrame, level: int, keys: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """The answers for each token's n-gram; 0 where there is none."""
+    distinct, at = np.unique(keys[real], return_inverse=True)
+    answer = exchange.in_order(found, level)
+    if len(answer) != len(distinct):
+        raise RuntimeError("the answers don't fit the chunk")
+    out = np.zeros(len(keys))
+    out[real] = answer[at]
+    return out
+
+
+def score(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_bytes: int = exchange.CHUNK_BYTES, part_bytes: int = exchange.PART_BYTES
+) -> DataFrame:
     """Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     parts = exchange.parts_for(docs, text_col, part_bytes)
-    asked = exchange.ask(docs, id_col, text_col, _ask(parts), chunk_bytes)
-    answers = stored(asked.groupBy("level", "part").applyInPandas(_count, exchange.ASKED), "counts")
+    chunked = exchange.held(docs, id_col, text_col, chunk_bytes)
+    asked = exchange.ask(chunked, _ask(parts, order))
+    answers = stored(asked.repartition(parts * order, "level", "part").groupBy("level", "part").applyInPandas(_count, exchange.ASKED), "counts")
     n = v = starts = 0
     for r in answers.where("chunk = '' AND level = 1").toLocalIterator():  # three numbers of each part
         a, b, c = exchange.unpack(bytes(r["blob"]))[0].tolist()
@@ -143,18 +170,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
 
     def of_chunk(name: str, ids: list, texts: list[bytes], found: pd.DataFrame) -> Iterator[pd.DataFrame]:
         tokens, text = tokens_of(texts)
-        before = histories(tokens, text)
-        counts = []
-        for level, keys in enumerate(keys_of(tokens, before), 1):
-            distinct, at = np.unique(keys, return_inverse=True)
-            answer = exchange.in_order(found, level)
-            if len(answer) != len(distinct):
-                raise RuntimeError("the answers don't fit the chunk: the input was read in another order")
-            counts.append(answer[at].astype(float))
-        word, bigram = counts
-        state = np.concatenate(([0.0], word[:-1]))
-        state[before == START] = starts
-        weights = Automaton(n, v, starts).traverse(word, state, bigram)
+        begins = np.concatenate(([True], text[1:] != text[:-1]))
+        counts = [_counts(found, level, *g) for level, g in enumerate(grams(tokens, text, order), 1)]
+        states = []
+        for k, count in enumerate(counts[:-1]):
+            state = np.concatenate(([0.0], count[:-1]))
+            state[begins] = 0 if k else starts
+            states.append(state)
+        weights = Automaton(n, v, starts).traverse(counts, states)
+        word = counts[0]
         base = np.log10((word + 0.5) / (n + 0.5 * (v + 1)))
         sums = lambda x: np.bincount(text, x, len(ids))
         yield pd.DataFrame(
@@ -169,4 +193,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
             }
         )
 
-    return exchange.meet(docs, answers.where("chunk != ''"), id_col, text_col, of_chunk, SCORED, chunk_bytes)
+    return exchange.meet(chunked, answers.where("chunk != ''"), of_chunk, SCORED)

@@ -14,7 +14,7 @@ to do with each of their distinct runs:
 - only other runs have the key: the run's bytes, and one copy of each other run of the
   key, go to one place and are compared;
 - over ``hot`` different runs have the key, as around a passage that many documents share:
-  their windows go on one by one, as hashes, each to the place of its own hash, and are
+  their windows are asked for like runs, by hashes of their own, in packed arrays, and are
   counted there. So no key is ever gathered whole beyond that number.
 
 There the strings of a key are joined, and their windows sorted as suffixes by prefix
@@ -24,9 +24,10 @@ same with greater positions gives the longest next factor. A window of which eit
 reaches LENGTH is repeated. So copies are compared once however many there are.
 
 Runs (and the windows of hot keys) are told apart by 120 bits of hashes, strings compared
-exactly. Null and empty texts
-have nothing to remove. Repeated rows are copies of each other. Texts of any length are
-cut into overlapping segments for hashing only. An empty table gives an empty result.
+exactly. Ids are integers, null ones included. Null and empty texts have nothing to remove.
+Repeated rows are copies of each other. Texts of any length are cut into overlapping
+segments for hashing only. Only the two named columns are read, so that no other can clash.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from leftdeep.llm import exchange
 from leftdeep.llm.hashing import mix, prefix_sums, ranges
@@ -45,13 +47,19 @@ from leftdeep.shared import stored
 U = np.uint64
 LENGTH, GRAM = 200, 32
 #: Window starts that are hashed at once, and bytes that are sorted at once.
-SEGMENT, SORTED = 1 << 19, 4 << 20
+SEGMENT, SORTED = 1 << 19, 1 << 20
 PLACE = 20  # bits of a position in a segment
-#: Different runs of a key beyond which its windows are dealt out singly.
-HOT = 1 << 14
+#: Different runs of a key beyond which its windows are asked for singly.
+HOT = 1 << 12
+#: Windows of hot keys that a chunk asks for at once, strings that it hands on at once, and
+#: how many times finer the strings and windows are dealt out than the runs.
+SLICE, HANDED, FINER = 1 << 20, 1 << 13, 8
 ALONE, WHOLE, COMPARED, SHOWN, SPLIT, SPLIT_SHOWN = range(6)
-#: place: which window of the run, -1: all of it; number: -1 if no answer is wanted.
-STRINGS = "part int, key long, chunk string, number int, place int, bytes binary"
+#: Answers about strings; about the windows of slice i: level WINDOWS + i.
+STRINGS_LEVEL, WINDOWS = 2, 8
+#: A string with its key, and its number among the chunk's runs (-1 if no answer is wanted),
+#: or (level >= WINDOWS) packed hashes of windows.
+STRINGS = "level int, part int, key long, chunk string, number int, bytes binary"
 RESULT = "doc_id long, n_bytes long, spans array<long>, kept binary"
 
 
@@ -165,63 +173,84 @@ def _windows(text: bytes) -> np.ndarray:
     return mix((sums[LENGTH:] - sums[:-LENGTH]) * inverse[: len(data) - LENGTH + 1])
 
 
+def _slices(data: bytes, found: dict[str, np.ndarray], run: np.ndarray, shown: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of the windows of these runs, about SLICE at once: (key, second hash) of the distinct
+    ones in order, how often each occurs (a run that is ``shown`` counts twice), where they
+    begin, and the number of each window among the distinct ones."""
+    size = found["last"][run] - found["first"][run] + 1
+    group = np.cumsum(size) // SLICE
+    for members in np.split(np.arange(len(run)), np.flatnonzero(np.diff(group)) + 1) if len(run) else ():
+        own, n = run[members], size[members]
+        value = np.concatenate([_windows(data[a : b + LENGTH]) for a, b in zip(found["first"][own].tolist(), found["last"][own].tolist(), strict=True)])
+        key = mix(value + np.repeat(found["key"][own], n)) >> U(64 - exchange.KEY_BITS)
+        start, times = ranges(found["first"][own], n), np.repeat(1 + shown[members], n)
+        order = np.lexsort((value, key))
+        key, value = key[order], value[order]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (value[1:] != value[:-1])))
+        number = np.cumsum(new) - 1
+        yield key[new], value[new], np.bincount(number, times[order]).astype(U), start[order], number
+
+
 def _strings(parts: int):
-    def part_of(key: np.ndarray) -> np.ndarray:
-        return (np.searchsorted(exchange.bounds(parts), key, side="right") - 1).astype(np.int32)
+    """Hands on the strings that have to be compared, and asks for the windows of hot keys."""
+    finer = parts * FINER
 
     def of_chunk(name: str, ids: list, texts: list[bytes], answers: pd.DataFrame) -> Iterator[pd.DataFrame]:
         found = runs(texts)
         order, begins, _ = entries(found)
         state = _states(answers, begins)
         data = b"".join(texts)
-
-        def of(states: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-            at = np.flatnonzero(np.isin(state, states))
+        compared = np.flatnonzero(np.isin(state, (COMPARED, SHOWN)))
+        for i in range(0, len(compared), HANDED):
+            at = compared[i : i + HANDED]
             run = order[begins[at]]
-            number = np.where(state[at] == states[0], at, -1).astype(np.int32)
-            return number, run, found["key"][run], [data[a : b + LENGTH] for a, b in zip(found["first"][run].tolist(), found["last"][run].tolist(), strict=True)]
-
-        number, run, key, strings = of((COMPARED, SHOWN))
-        yield pd.DataFrame({"part": part_of(key), "key": key.view(np.int64), "chunk": name, "number": number, "place": np.int32(-1), "bytes": pd.Series(strings, dtype=object)})
-        number, run, key, strings = of((SPLIT, SPLIT_SHOWN))
-        if len(run):
-            own = [_windows(x) for x in strings]
-            size = np.array([len(x) for x in own])
-            value = np.concatenate(own)
-            digest = np.stack([np.repeat(key, size), value], 1).tobytes()
-            at = value >> U(64 - exchange.KEY_BITS)
+            key = found["key"][run]
             yield pd.DataFrame(
                 {
-                    "part": part_of(at),
-                    "key": at.view(np.int64),
+                    "level": np.int32(STRINGS_LEVEL),
+                    "part": (np.searchsorted(exchange.bounds(finer), key, side="right") - 1).astype(np.int32),
+                    "key": key.view(np.int64),
                     "chunk": name,
-                    "number": np.repeat(number, size),
-                    "place": ranges(np.zeros(len(size), np.int64), size).astype(np.int32),
-                    "bytes": [digest[i : i + 16] for i in range(0, len(digest), 16)],
+                    "number": np.where(state[at] == COMPARED, at, -1).astype(np.int32),
+                    "bytes": pd.Series([data[a : b + LENGTH] for a, b in zip(found["first"][run].tolist(), found["last"][run].tolist(), strict=True)], dtype=object),
                 }
             )
+        run, shown = _split_runs(state, order, begins)
+        for i, (key, value, times, _, _) in enumerate(_slices(data, found, run, shown)):
+            asked = exchange.asked(WINDOWS + i, name, key, finer, value, times)
+            yield asked.assign(key=np.int64(0), number=np.int32(-1)).rename(columns={"blob": "bytes"})[["level", "part", "key", "chunk", "number", "bytes"]]
 
     return of_chunk
 
 
+def _split_runs(state: np.ndarray, order: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One run for each distinct one of a hot key, and whether it is known to be repeated."""
+    at = np.flatnonzero(np.isin(state, (SPLIT, SPLIT_SHOWN)))
+    return order[begins[at]], state[at] == SPLIT_SHOWN
+
+
 def _states(answers: pd.DataFrame, begins: np.ndarray) -> np.ndarray:
     state = exchange.in_order(answers, 1)
     if len(state) != len(begins):
-        raise RuntimeError("the answers don't fit the chunk: the input was read in another order")
+        raise RuntimeError("the answers don't fit the chunk")
     return state
 
 
+def _ranked(values: np.ndarray) -> np.ndarray:
+    return np.unique(values, return_inverse=True)[1].astype(np.int32)
+
+
 def prefix_ranks(data: np.ndarray, depth: int) -> list[np.ndarray]:
     """Ranks of all positions by their first 8, 16, ... bytes, up to at least ``depth``."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(U)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
     word = np.zeros(len(data), U)
     for i in range(8):
         word = (word << U(8)) | padded[i : i + len(data)]
-    out, h = [np.unique(word, return_inverse=True)[1].astype(np.int64)], 8
+    out, h = [_ranked(word)], 8
     while h < depth:
-        after = np.zeros(len(data), np.int64)
-        after[: max(0, len(data) - h)] = out[-1][h:] + 1
-        out.append(np.unique(out[-1] << 32 | after, return_inverse=True)[1].astype(np.int64))
+        both = out[-1].astype(np.int64) << 32
+        both[: max(0, len(data) - h)] += out[-1][h:] + 1
+        out.append(_ranked(both))
         h *= 2
     return out
 
@@ -283,70 +312,102 @@ def repeated(strings: list[bytes]) -> list[np.ndarray]:
 
 
 def _compare(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    single = rows[rows["place"] >= 0]
-    single = single[single.duplicated(["key", "bytes"], keep=False) & (single["number"] >= 0)]
-    rows = rows[rows["place"] < 0].sort_values(["key", "chunk", "number"], kind="stable").reset_index(drop=True)
+    """Which windows of a part's strings are repeated; or how often its windows occur."""
+    if group[0] >= WINDOWS:
+        return _count_windows(group, rows)
+    rows = rows.sort_values(["key", "chunk", "number"], kind="stable").reset_index(drop=True)
     key, size = rows["key"].to_numpy(), rows["bytes"].map(len).to_numpy(np.int64)
     out, at = [], 0
     while at < len(rows):  # whole keys, about SORTED bytes of them
         end = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), SORTED)))
         while end < len(rows) and key[end] == key[end - 1]:
             end += 1
-        out += repeated(rows["bytes"][at:end].tolist())
+        out += [np.packbits(x).tobytes() for x in repeated(rows["bytes"][at:end].tolist())]
         at = end
     rows["hit"] = pd.Series(out, dtype=object)
     rows = rows[rows["number"] >= 0]
-    made = [(c, (g["number"].to_numpy(), [np.packbits(h).tobytes() for h in g["hit"]])) for c, g in rows.groupby("chunk")]
-    made += [(c, (g["number"].to_numpy(), g["place"].to_numpy())) for c, g in single.groupby("chunk")]
-    return pd.DataFrame({"level": 2, "part": group[0], "chunk": pd.Series([c for c, _ in made], dtype=object), "blob": pd.Series([pickle.dumps(b) for _, b in made], dtype=object)})
+    made = [(c, pickle.dumps((g["number"].to_numpy(), g["hit"].tolist()))) for c, g in rows.groupby("chunk")]
+    return pd.DataFrame({"level": group[0], "part": group[1], "chunk": pd.Series([c for c, _ in made], dtype=object), "blob": pd.Series([b for _, b in made], dtype=object)})
+
+
+def _count_windows(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """For each chunk's windows 1 if they occur elsewhere, else 0."""
+    given = [exchange.unpacked(b, 2) for b in rows["bytes"]]
+    cut = np.cumsum([0, *(len(g[0]) for g in given)])
+    key, value, times = (np.concatenate([g[i] for g in given]) for i in range(3))
+    del given
+    order = np.lexsort((value, key))
+    key, value = key[order], value[order]
+    of = np.cumsum(np.concatenate(([0], ((key[1:] != key[:-1]) | (value[1:] != value[:-1])).astype(np.int64))))
+    twice = np.empty(len(order), U)
+    twice[order] = (np.bincount(of, times[order]) > 1)[of]
+    blobs = [exchange.pack(twice[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pd.DataFrame({"level": rows["level"].to_numpy(), "part": group[1], "chunk": rows["chunk"].tolist(), "blob": blobs})
+
+
+def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of intervals [first, end), as disjoint ones in order that don't touch."""
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate(([True], first[1:] > reach[:-1]))) if len(first) else np.empty(0, np.int64)
+    return first[new], np.append(reach[new[1:] - 1], reach[-1:])
 
 
 def _remove(name: str, ids: list, texts: list[bytes], answers: pd.DataFrame) -> Iterator[pd.DataFrame]:
     found = runs(texts)
     order, begins, number = entries(found)
     state = _states(answers, begins)
-    total = sum(map(len, texts))
-    edge = np.zeros(total + 1, np.int64)
-
-    def cover(first: np.ndarray, last: np.ndarray) -> None:
-        np.add.at(edge, first, 1)
-        np.add.at(edge, last + LENGTH, -1)
+    spans: list[tuple[np.ndarray, np.ndarray]] = []
 
     whole = order[np.isin(state, (WHOLE, SHOWN, SPLIT_SHOWN))[number]] if len(order) else order
-    cover(found["first"][whole], found["last"][whole])
-    for blob in answers.loc[answers["level"] == 2, "blob"].drop_duplicates():
+    spans.append((found["first"][whole], found["last"][whole] + LENGTH))
+    for blob in answers.loc[answers["level"] == STRINGS_LEVEL, "blob"].drop_duplicates():
         numbers, hits = pickle.loads(blob)
-        if isinstance(hits, np.ndarray):
-            at = found["first"][order[begins[numbers]]] + hits
-            cover(at, at)
-            continue
-        for i, bits in zip(numbers, hits, strict=True):
+        for i, bits in zip(numbers.tolist(), hits, strict=True):
             run = order[begins[i]]
             a, n = found["first"][run], found["last"][run] - found["first"][run] + 1
-            hit = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=n))
-            cover(a + hit, a + hit)
-    gone = np.cumsum(edge[:-1]) > 0
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    kept, spans, at = [], [], 0
-    for t in texts:
-        own = gone[at : at + len(t)]
-        turn = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).view(np.int8)))
-        spans.append(turn.astype(np.int64))
-        kept.append(data[at : at + len(t)][~own].tobytes() if len(turn) else t)
-        at += len(t)
-    yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_bytes": [len(t) for t in texts], "spans": spans, "kept": kept})
+            own = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
+            turn = np.flatnonzero(np.diff(np.concatenate(([0], own, [0])).astype(np.int8)))
+            spans.append((a + turn[::2], a + turn[1::2] - 1 + LENGTH))
+    for i, (_, _, _, start, at) in enumerate(_slices(b"".join(texts), found, *_split_runs(state, order, begins))):
+        hit = start[exchange.in_order(answers, WINDOWS + i)[at] > 0]
+        spans.append(merged(hit, hit + LENGTH))
+    first, end = merged(*map(np.concatenate, zip(*spans, strict=True)))
+    bounds = np.cumsum([0, *map(len, texts)])
+    # A span never leaves its text, but those of neighbouring texts may touch.
+    inner = bounds[1:-1]
+    owner = np.searchsorted(first, inner, side="right") - 1
+    split = inner[(owner >= 0) & (first[owner] < inner) & (end[owner] > inner)] if len(first) else inner[:0]
+    first, end = np.sort(np.concatenate((first, split))), np.sort(np.concatenate((end, split)))
+    cut = np.searchsorted(first, bounds)
+    ids = pd.array(ids, dtype="Int64")
+    at = 0
+    while at < len(texts):  # some texts at once, so that the result isn't held twice
+        upto = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SORTED)))
+        upto = min(upto, len(texts))
+        rows = []
+        for i in range(at, upto):
+            a, b = first[cut[i] : cut[i + 1]] - bounds[i], end[cut[i] : cut[i + 1]] - bounds[i]
+            flat = np.stack((a, b), 1).ravel()
+            edges = [0, *flat.tolist(), len(texts[i])]
+            rows.append((flat, b"".join(texts[i][x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)) if len(a) else texts[i]))
+        yield pd.DataFrame({"doc_id": ids[at:upto], "n_bytes": np.diff(bounds[at : upto + 1]), "spans": [x for x, _ in rows], "kept": [x for _, x in rows]})
+        at = upto
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = exchange.CHUNK_BYTES, part_bytes: int = exchange.PART_BYTES, hot: int = HOT) -> DataFrame:
     """Returns doc_id, n_bytes, spans (removed, flattened pairs of byte offsets) and kept (the
     remaining bytes) for each row of ``docs``."""
     parts = exchange.parts_for(docs, text_col, part_bytes)
-    asked = exchange.ask(docs, id_col, text_col, _ask(parts), chunk_bytes)
+    chunked = exchange.held(docs, id_col, text_col, chunk_bytes)
 
     def answer(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _answer(group, rows, hot)
 
-    first = stored(asked.repartition(parts, "level", "part").groupBy("level", "part").applyInPandas(answer, exchange.ASKED), "runs")
-    strings = exchange.meet(docs, first, id_col, text_col, _strings(parts), STRINGS, chunk_bytes)
-    second = stored(strings.repartition(parts, "part").groupBy("part").applyInPandas(_compare, exchange.ASKED), "compared")
-    return exchange.meet(docs, first.union(second), id_col, text_col, _remove, RESULT, chunk_bytes)
+    asked = exchange.ask(chunked, _ask(parts))
+    first = stored(asked.repartition(parts, "part").groupBy("level", "part").applyInPandas(answer, exchange.ASKED), "runs")
+    strings = exchange.meet(chunked, first, _strings(parts), STRINGS)
+    # A part's windows of all slices meet; its strings are a group of their own.
+    kind = F.when(F.col("level") < WINDOWS, F.col("level")).otherwise(WINDOWS).alias("kind")
+    second = stored(strings.repartition(parts * FINER, kind, F.col("part")).groupBy(kind, "part").applyInPandas(_compare, exchange.ASKED), "compared")
+    return exchange.meet(chunked, first.union(second), _remove, RESULT)

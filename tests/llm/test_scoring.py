@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leftdeep.llm import exchange, queries, scoring
 
@@ -15,25 +16,30 @@ def toks(t):
     return [*ascii_words(lower_ascii(t or "")), "</s>"]
 
 
-def brute(rows):
-    uni, bi = Counter(), Counter()
+def brute(rows, order=scoring.ORDER):
+    """Straight from the definition, over tuples of words."""
+    seen = Counter()
     for i, t in rows:
         if not scoring.is_held_out(i):
-            w = toks(t)
-            uni.update(w)
-            bi.update(zip(["<s>", *w], w, strict=False))
-    n, v = sum(uni.values()), len(uni)
-    hist = Counter(uni) + Counter({"<s>": uni["</s>"]})
+            w = ["<s>", *toks(t)]
+            seen[("<s>",)] += 1
+            seen.update(tuple(w[max(0, j - n + 1) : j + 1]) for j in range(1, len(w)) for n in range(1, order + 1) if j - n + 1 >= 0)
+    n = sum(c for g, c in seen.items() if len(g) == 1 and g != ("<s>",))
+    v = sum(len(g) == 1 and g != ("<s>",) for g in seen)
+
+    def p(history, x):
+        if not history:
+            return (seen[(x,)] - scoring.DISCOUNT if seen[(x,)] else scoring.DISCOUNT * v) / n
+        c = seen[history]
+        b = max(scoring.LEAST_BACKOFF, scoring.RARE / (c + scoring.RARE)) if c else 1
+        return (1 - b) * seen[(*history, x)] / max(c, 1) + b * p(history[1:], x)
+
     out = []
     for i, t in rows:
-        base = score = 0.0
-        w = toks(t)
-        for h, x in zip(["<s>", *w], w, strict=False):
-            base += math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1)))
-            root = (uni[x] - scoring.DISCOUNT if uni[x] else scoring.DISCOUNT * v) / n
-            b = max(scoring.LEAST_BACKOFF, scoring.RARE / (hist[h] + scoring.RARE)) if hist[h] else 1
-            score += math.log10((1 - b) * bi[h, x] / max(hist[h], 1) + b * root)
-        out.append((i, scoring.is_held_out(i), len(w), sum(uni[x] > 0 for x in w), n, base, score))
+        w = ["<s>", *toks(t)]
+        base = sum(math.log10((seen[(x,)] + 0.5) / (n + 0.5 * (v + 1))) for x in w[1:])
+        score = sum(math.log10(p(tuple(w[max(0, j - order + 1) : j]), w[j])) for j in range(1, len(w)))
+        out.append((i, scoring.is_held_out(i), len(w) - 1, sum(seen[(x,)] > 0 for x in w[1:]), n, base, score))
     return out
 
 
@@ -45,10 +51,31 @@ def same(got, want):
         assert g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
-@pytest.mark.parametrize("size", [1 << 24, 300])
-def test_against_brute_force(spark, size):
+@pytest.mark.parametrize("size, order", [(1 << 24, 3), (300, 3), (1 << 24, 1), (1 << 24, 2), (700, 4)])
+def test_against_brute_force(spark, size, order):
+    rows = corpus(60)
+    same(scoring.score(frame(spark, rows), order=order, chunk_bytes=size, part_bytes=size * 2).collect(), brute(rows, order))
+
+
+def test_input_whose_order_changes(spark):
     rows = corpus(60)
-    same(scoring.score(frame(spark, rows), chunk_bytes=size, part_bytes=size * 2).collect(), brute(rows))
+    df = frame(spark, rows).repartition(3).orderBy(F.rand())
+    same(scoring.score(df, chunk_bytes=400, part_bytes=900).collect(), brute(rows))
+
+
+def test_arrays_sent_follow_the_corpus(spark):
+    """Never more arrays than distinct keys of chunks, whatever the number of chunks."""
+    texts = [" ".join(f"w{(i * 7 + j) % 500}" for j in range(40)) for i in range(320)]
+    sent = {}
+    for times in (2, 8, 32):
+        df = spark.createDataFrame(list(enumerate(texts[: 10 * times])), "doc_id long, text string").coalesce(1)
+        size = sum(map(len, texts[:10]))
+        chunked = exchange.held(df, "doc_id", "text", size)
+        asked = exchange.ask(chunked, scoring._ask(times, 3)).collect()
+        keys = sum(len(exchange.unpacked(bytes(r["blob"]), 1)[0]) for r in asked)
+        assert len(asked) <= min(keys, 3 * times * chunked.count())
+        sent[times] = keys / times
+    assert sent[32] <= 1.1 * sent[2]
 
 
 def test_awkward_tables(spark):
@@ -61,8 +88,12 @@ def test_awkward_tables(spark):
 
 def test_probabilities_add_up():
     a = scoring.Automaton(n=10, v=4, starts=3)
-    words, bigrams = np.array([4.0, 3, 2, 1, 0]), np.array([2.0, 1, 0, 0, 0])
-    assert (10 ** a.traverse(words, np.full(5, 3.0), bigrams)).sum() == pytest.approx(1)
+    words, bigrams, trigrams = np.array([4.0, 3, 2, 1, 0]), np.array([2.0, 1, 0, 0, 0]), np.array([0.0, 1, 0, 0, 0])
+    full = np.full(5, 1.0)
+    for order in (1, 2, 3):
+        counts, states = [words, bigrams, trigrams][:order], [3 * full, full][: order - 1]
+        assert (10 ** a.traverse(counts, states)).sum() == pytest.approx(1), order
+    assert (10 ** a.traverse([words, bigrams, 0 * full], [3 * full, 0 * full])).sum() == pytest.approx(1)
     assert a.root(words).sum() == pytest.approx(1)
 
 

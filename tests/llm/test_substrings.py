@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leftdeep.llm import queries, substrings
 
@@ -52,6 +53,13 @@ def test_against_brute_force(spark, size, hot):
     same(substrings.remove_repeats(frame(spark, rows), chunk_bytes=size, part_bytes=size * 3, hot=hot).collect(), brute(rows))
 
 
+def test_hot_windows_in_slices_and_input_whose_order_changes(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SLICE", 500)
+    rows = cases()
+    df = frame(spark, rows).repartition(3).orderBy(F.rand())
+    same(substrings.remove_repeats(df, chunk_bytes=9000, part_bytes=6000, hot=1).collect(), brute(rows))
+
+
 def test_long_texts_are_cut_for_hashing_only(monkeypatch):
     monkeypatch.setattr(substrings, "SEGMENT", 301)
     texts = [(t or "").encode() for _, t in cases()]
