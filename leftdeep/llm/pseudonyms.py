@@ -18,20 +18,28 @@ whatever document they stand; whoever has the key can invert it. Separators stay
 - hex: a run of 32 to 64 hexadecimal digits, as in access tokens.
 
 Numbers that fail their check are left alone. All of it is native expressions, without a
-shuffle. A null text stays null with no replacement; an empty one stays empty; rows
-don't depend on each other. Existing columns with an output's name are replaced.
+shuffle. Rounds are HMAC-SHA256 under the key; the keyed blocks come from a subquery of one
+row, so that no plan, and so no event log, shows them. A match of any length takes time in
+proportion to it: a round hashes each half once, and no pattern repeats a group without a
+bound. A null text stays null with no replacement; an empty one stays empty; rows don't
+depend on each other, so repeats stay repeats; an empty table stays empty. Existing columns
+with an output's name are replaced; all others, whatever their names, are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leftdeep.llm.session import unused
+
 ROUNDS = 10
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: In order of precedence where they begin at the same place.
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "hex": r"(?<!\w)(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)",
     "card": r"(?<![\w.])(?:\d{13,19}|\d{4}(?:(?: \d{4}){2} |(?:-\d{4}){2}-)\d{1,7}|\d{4}(?: \d{6} |-\d{6}-)\d{5})(?!\w)",
@@ -41,6 +49,8 @@ PATTERNS = {
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\w)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What every match has in it.
+SIGN = "[0-9@]"
 #: Days from 1900-01-01 on that dates are permuted among, as a product.
 DAYS = (17, 4297)
 FIRST_DAY = "1900-01-01"
@@ -51,13 +61,32 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _number(key: str, *parts: Column) -> Column:
-    """60 bits of a hash of the key and the parts."""
-    text = F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+def keyed(key: str) -> tuple[bytes, bytes]:
+    """HMAC-SHA256's two keyed blocks."""
+    raw = key.encode()
+    block = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
+
+
+def _key_column(spark: SparkSession, key: str) -> Column:
+    """struct<i, o> of the keyed blocks, as a scalar subquery: a plan shows only its name."""
+    inner, outer = keyed(key)
+    row = spark.sql("SELECT named_struct('i', unhex(a), 'o', unhex(b)) AS k FROM VALUES (:a, :b) AS v(a, b)", args={"a": inner.hex(), "b": outer.hex()})
+    return row.scalar()
+
+
+def _mac(key: Column, *parts: Column) -> Column:
+    """HMAC-SHA256 of the parts, as hexadecimal digits."""
+    message = F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")
+    return F.sha2(F.concat(key["o"], F.unhex(F.sha2(F.concat(key["i"], message), 256))), 256)
+
 
+def _number(key: Column, *parts: Column) -> Column:
+    """60 bits that depend on the key and the parts."""
+    return F.conv(F.substring(_mac(key, *parts), 1, 15), 16, 10).cast("long")
 
-def permuted_pair(key: str, kind: str, a: Column, b: Column, size_a: int, size_b: int) -> Column:
+
+def permuted_pair(key: Column, kind: str, a: Column, b: Column, size_a: int, size_b: int) -> Column:
     """(a, b) of [0, size_a) x [0, size_b), permuted: struct<a, b>."""
     add = lambda x, other, i, size: (x + _number(key, F.lit(kind), i, other) % size) % size
     return F.aggregate(
@@ -69,32 +98,42 @@ def permuted_pair(key: str, kind: str, a: Column, b: Column, size_a: int, size_b
     )
 
 
-def permuted_text(key: str, kind: str, text: Column, letters: int = 26) -> Column:
+def permuted_text(key: Column, kind: str, text: Column, letters: int = 26) -> Column:
     """Digits and ASCII letters permuted in place, each within its class; the halves of the
     text take turns in moving the other's characters."""
+    last = chr(96 + letters)
 
     def moved(half: Column, other: Column, i: Column) -> Column:
-        def one(j: Column) -> Column:
-            c = F.substring(half, j, F.lit(1))
-            by = _number(key, F.lit(kind), i, j, F.length(half), other)
-            turn = lambda low, size: F.char(F.lit(low) + (F.ascii(c) - low + by % size) % size)
-            last = chr(96 + letters)
-            return (
-                F.when(c.between("0", "9") & (F.octet_length(c) == 1), turn(48, 10))
-                .when(c.between("a", last) & (F.octet_length(c) == 1), turn(97, letters))
-                .when(c.between("A", last.upper()) & (F.octet_length(c) == 1), turn(65, letters))
-                .otherwise(c)
-            )
-
-        indices = F.filter(F.sequence(F.lit(1), F.greatest(F.length(half), F.lit(1))), lambda j: j <= F.length(half))
-        return F.array_join(F.transform(indices, one), "")
-
-    n = F.length(text)
-    cut = F.floor(n / 2).cast("int")
-    halves = F.struct(F.substring(text, F.lit(1), cut).alias("l"), F.substring(text, cut + 1, n).alias("r"))
-    steps = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    swap = lambda s, i: F.struct(s["r"].alias("l"), moved(s["l"], s["r"], i).alias("r"))
-    return F.aggregate(steps, halves, swap, lambda s: F.concat(s["l"], s["r"]))
+        """Character j moves by 16 bits of block j / 16: the first is a hash of the other half,
+        the next ones are hashes of the first."""
+
+        def by_blocks(blocks: Column) -> Column:
+            def one(c: Column, j: Column) -> Column:
+                by = F.conv(F.substring(F.get(blocks, F.floor(j / 16).cast("int")), j % 16 * 4 + 1, F.lit(4)), 16, 10).cast("int")
+                turn = lambda low, size: F.char(F.lit(low) + (F.ascii(c) - low + by) % size)
+                return (
+                    F.when(c.between("0", "9") & (F.octet_length(c) == 1), turn(48, 10))
+                    .when(c.between("a", last) & (F.octet_length(c) == 1), turn(97, letters))
+                    .when(c.between("A", last.upper()) & (F.octet_length(c) == 1), turn(65, letters))
+                    .otherwise(c)
+                )
+
+            return F.transform(half, one)
+
+        def by_first(first: Column) -> Column:
+            numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.size(half) - 1, F.lit(0)) / 16).cast("int"))
+            return _let(F.transform(numbers, lambda b: F.when(b == 0, first).otherwise(F.sha2(F.concat(first, b.cast("string")), 256))), by_blocks)
+
+        return _let(_mac(key, F.lit(kind), i, F.size(half), F.array_join(other, "")), by_first)
+
+    def run(chars: Column) -> Column:
+        n = F.length(text)
+        cut = F.floor(n / 2).cast("int")
+        halves = F.struct(F.slice(chars, F.lit(1), cut).alias("l"), F.slice(chars, cut + 1, n - cut).alias("r"))
+        swap = lambda s, i: F.struct(s["r"].alias("l"), moved(s["l"], s["r"], i).alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves, swap, lambda s: F.array_join(F.concat(s["l"], s["r"]), ""))
+
+    return _let(F.split(text, ""), run)
 
 
 def _digits(text: Column) -> Column:
@@ -104,12 +143,11 @@ def _digits(text: Column) -> Column:
 def _refilled(shape: Column, content: Column, kept: str = "0-9") -> Column:
     """``shape`` with its ``kept`` characters replaced by those of ``content``, in order."""
 
-    def one(i: Column) -> Column:
-        c = F.substring(shape, i, F.lit(1))
-        number = F.length(F.regexp_replace(F.substring(shape, F.lit(1), i), f"[^{kept}]", ""))
-        return F.when(c.rlike(f"[{kept}]"), F.substring(content, number, F.lit(1))).otherwise(c)
+    def add(s: Column, c: Column) -> Column:
+        taken = F.struct(F.concat(s["out"], F.substring(content, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))
+        return F.when(c.rlike(f"[{kept}]"), taken).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at")))
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), one), "")
+    return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), add, lambda s: s["out"])
 
 
 def _luhn(digits: Column, odd_first: int) -> Column:
@@ -135,7 +173,7 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), add)
 
 
-def _card(key: str, m: Column) -> Column:
+def _card(key: Column, m: Column) -> Column:
     def body(d: Column) -> Column:
         new = permuted_text(key, "card", F.substring(d, F.lit(1), F.length(d) - 1))
         checked = lambda p: F.concat(p, ((10 - _luhn(p, 0) % 10) % 10).cast("string"))
@@ -144,7 +182,7 @@ def _card(key: str, m: Column) -> Column:
     return _let(_digits(m), body)
 
 
-def _iban(key: str, m: Column) -> Column:
+def _iban(key: Column, m: Column) -> Column:
     def body(t: Column) -> Column:
         country, account = F.substring(t, 1, 2), F.substring(t, F.lit(5), F.length(t))
         right = _mod97(F.concat(account, F.substring(t, 1, 4))) == 1
@@ -158,7 +196,7 @@ def _iban(key: str, m: Column) -> Column:
     return _let(F.regexp_replace(m, " ", ""), body)
 
 
-def _ssn(key: str, m: Column) -> Column:
+def _ssn(key: Column, m: Column) -> Column:
     area, group, serial = (F.substring(m, a, n).cast("int") for a, n in ((1, 3), (5, 2), (8, 4)))
     right = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
     place = F.when(area > 666, area - 2).otherwise(area - 1)
@@ -171,21 +209,21 @@ def _ssn(key: str, m: Column) -> Column:
     return F.when(right, _let(permuted_pair(key, "ssn", place * 99 + group - 1, serial - 1, 898 * 99, 9999), made)).otherwise(m)
 
 
-def _phone(key: str, m: Column) -> Column:
+def _phone(key: Column, m: Column) -> Column:
     code = F.regexp_extract(m, r"^\+\d{1,3}(?=\D)", 0)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
     right = F.length(_digits(m)).between(10, 15)
     return F.when(right, F.concat(code, _let(permuted_text(key, "phone", _digits(rest)), lambda p: _refilled(rest, p)))).otherwise(m)
 
 
-def _ip(key: str, m: Column) -> Column:
+def _ip(key: Column, m: Column) -> Column:
     part = F.split(m, r"\.")
     half = lambda i: part[i].cast("long") * 256 + part[i + 1].cast("long")
     octets = lambda x: (F.floor(x / 256).cast("string"), (x % 256).cast("string"))
     return _let(permuted_pair(key, "ip", half(0), half(2), 65536, 65536), lambda s: F.concat_ws(".", *octets(s["a"]), *octets(s["b"])))
 
 
-def _date(key: str, m: Column) -> Column:
+def _date(key: Column, m: Column) -> Column:
     def body(d: Column) -> Column:
         number = F.date_diff(d, F.lit(FIRST_DAY).cast("date"))
 
@@ -204,7 +242,7 @@ def _date(key: str, m: Column) -> Column:
     return _let(F.concat_ws("-", y, mo, d).try_cast("date"), body)
 
 
-def _email(key: str, m: Column) -> Column:
+def _email(key: Column, m: Column) -> Column:
     at = F.instr(m, "@")
     return F.concat(permuted_text(key, "email", F.substring(m, F.lit(1), at - 1)), F.substring(m, at, F.length(m)))
 
@@ -221,7 +259,7 @@ MAKERS = {
 }
 
 
-def pseudonym(key: str, match: Column) -> Column:
+def pseudonym(key: Column, match: Column) -> Column:
     """What a match of ANY becomes: itself if it fails its check."""
     out = None
     for kind, make in MAKERS.items():
@@ -232,11 +270,12 @@ def pseudonym(key: str, match: Column) -> Column:
 
 def pseudonymize(df: DataFrame, key: str, text_col: str = "text", count_col: str = "n_pseudonyms") -> DataFrame:
     """``df`` with ``text_col`` rewritten in place and ``count_col``, how many values changed."""
-    text = F.col(text_col)
+    name, key_name = unused(df, "pseudonymized"), unused(df, "key")
+    text, secret = F.col(f"`{text_col}`"), F.col(key_name)
     found = F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))
 
     def joined(parts: Column) -> Column:
-        made = F.transform(parts["found"], lambda m: pseudonym(key, m))
+        made = F.transform(parts["found"], lambda m: pseudonym(secret, m))
         return _let(
             made,
             lambda new: F.struct(
@@ -250,9 +289,8 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text", count_col: str
 
     parts = F.struct(found.alias("found"), F.split(text, ANY, -1).alias("gaps"))
     whole = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
-    done = F.when(text.rlike(ANY), _let(parts, joined)).otherwise(whole)
-    name = "_pseudonymized"
-    out = df.withColumn(name, done)
+    done = F.when(text.rlike(SIGN) & text.rlike(ANY), _let(parts, joined)).otherwise(whole)
+    out = df.withColumn(key_name, _key_column(df.sparkSession, key)).withColumn(name, done)
     new = {text_col: F.col(f"{name}.text"), count_col: F.col(f"{name}.n")}
     kept = [new[c].alias(c) if c in new else F.col(f"`{c}`") for c in df.columns]
     return out.select(*kept, *[v.alias(k) for k, v in new.items() if k not in df.columns])

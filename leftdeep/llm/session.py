@@ -1,8 +1,8 @@
-"""Session settings that whole texts in Python workers need."""
+"""What operators ask of the session and of their input's column names."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a worker gets at once: texts are long, and a batch is held whole on both sides.
 ROWS = 500
@@ -10,3 +10,12 @@ ROWS = 500
 
 def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A helper column's name that no column of ``df`` has in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
