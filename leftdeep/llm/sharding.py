@@ -1,79 +1,83 @@
 """Shards of nearly equal bytes, by longest-processing-time scheduling.
 
-Rows of equal text stay together. A group that alone exceeds the quantum, which is
-``total / items``, is scheduled by itself; smaller groups are dealt by hash into
-``items`` bundles. So at most 2 x ``items`` entries, however large the corpus, are
-sorted by size on the driver and go one by one to the least loaded shard, which a heap
-yields. No shard then exceeds another by more than the last entry it took.
+Rows of equal text form a group that stays together. Groups go in order of falling size to
+the least loaded shard (the first of several), which a heap yields. Groups of one size are
+interchangeable, so the driver schedules sizes with their counts: distinct sizes are no
+more than the square root of twice all bytes, and usually far fewer. As soon as no load
+exceeds another by as much as the size at hand, the heap would deal groups of that size
+round by round in the same order; whole rounds are then taken at once. What the driver
+returns is how many groups of each size every shard takes; which ones, their rank by hash
+among the groups of that size says.
 
-Groups are told apart by a 64-bit hash: texts that collide merely travel together. A
-null text counts as empty. A row's slot in its shard comes from the counts of hash
-buckets of its id, so no shard is sorted in one task; rows that are equal in everything
-share consecutive slots in any order. An empty table gives an empty result.
+Groups are told apart by a 64-bit hash: texts that collide merely travel together. A null
+text counts as empty; a text of any length is measured whole. Ranks and slots come from
+the counts of hash buckets, so neither a shard nor the groups of one size are sorted in one
+task; rows that are equal in everything share consecutive slots in any order. Ids of any
+type are taken, nulls included. Only the two named columns are read, so that no other can
+clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leftdeep.shared import stored
 
 
-def least_loaded(sizes: list[tuple[int, int]], shards: int) -> list[int]:
-    """The shard of each (size, key), largest first, ties by key."""
-    out, heap = [0] * len(sizes), [(0, s) for s in range(shards)]
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i][0], sizes[i][1])):
-        load, shard = heap[0]
-        out[i] = shard
-        heapq.heapreplace(heap, (load + sizes[i][0], shard))
+def quotas(sizes: list[tuple[int, int]], shards: int) -> list[list[int]]:
+    """For each (size, count) how many of its groups every shard takes, largest size first."""
+    out: list[list[int]] = [[]] * len(sizes)
+    heap = [(0, s) for s in range(shards)]
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i][0]):
+        size, left = sizes[i]
+        took = [0] * shards
+        while left:
+            if left >= shards and max(heap)[0] - heap[0][0] < size:
+                rounds, left = divmod(left, shards)
+                heap = [(load + rounds * size, s) for load, s in heap]  # still in order
+                took = [n + rounds for n in took]
+                continue
+            load, s = heap[0]
+            heapq.heapreplace(heap, (load + size, s))
+            took[s] += 1
+            left -= 1
+        out[i] = took
     return out
 
 
-def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", items: int = 1 << 16, buckets: int = 1 << 12) -> DataFrame:
+def _rank(df: DataFrame, of: list[str], bucket: str, order: list[Column | str], name: str) -> DataFrame:
+    """``df`` with ``name``, each row's number from 0 on among those equal in ``of``: those of
+    lower ``bucket`` come first."""
+    before = Window.partitionBy(*of).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*of, bucket).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(*of, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(*of, bucket).orderBy(*order))
+    return df.withColumn("_own", own).join(starts, [*of, bucket]).withColumn(name, F.col("_start") + F.col("_own") - 1).drop("_own", "_start")
+
+
+def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 12) -> DataFrame:
     """Returns id, size (UTF-8 bytes + 1), text_crc32, shard and slot for each row."""
     spark = df.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = stored(
         df.select(
-            F.col(id_col),
+            F.col(f"`{id_col}`").alias("_id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("_group"),
-            F.pmod(F.xxhash64(F.col(id_col), F.lit("slot")), F.lit(buckets)).cast("int").alias("_bucket"),
         ),
         "shard-rows",
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
     groups = rows.groupBy("_group").agg(F.sum("size").alias("_bytes"))
-    alone = F.col("_bytes") > F.lit(total // items)
-    entries = (
-        groups.groupBy(alone.alias("alone"), F.when(alone, F.col("_group")).otherwise(F.pmod("_group", F.lit(items))).alias("key"))
-        .agg(F.sum("_bytes").alias("bytes"))
-        .toPandas()
-    )
-    entries["shard"] = pd.Series(least_loaded(list(zip(entries["bytes"].tolist(), entries["key"].tolist(), strict=True)), shards), dtype="int32")
-    part = lambda own, key, name: F.broadcast(  # noqa: E731  at most ``items`` rows
-        spark.createDataFrame(entries.loc[entries["alone"] == own, ["key", "shard"]], f"{key} long, {name} int")
-    )
-    placed = (
-        rows.withColumn("_bundle", F.pmod("_group", F.lit(items)))
-        .join(part(True, "_group", "_own"), "_group", "left")
-        .join(part(False, "_bundle", "_dealt"), "_bundle", "left")
-        .withColumn("shard", F.coalesce("_own", "_dealt"))
-    )
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("shard", "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    )
-    within = Window.partitionBy("shard", "_bucket").orderBy(id_col, "text_crc32", "size", "_group")
-    return (
-        placed.withColumn("_at", F.row_number().over(within))
-        .join(F.broadcast(starts), ["shard", "_bucket"])  # shards x buckets rows at most
-        .select(id_col, "size", "text_crc32", "shard", (F.col("_start") + F.col("_at") - 1).alias("slot"))
-    )
+    groups = stored(groups.withColumn("_bucket", F.pmod(F.xxhash64("_group"), F.lit(buckets)).cast("int")), "shard-groups")
+    tally = [(r["_bytes"], r["n"]) for r in groups.groupBy("_bytes").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()]
+    ends = [(size, [sum(q[: s + 1]) for s in range(shards)]) for (size, _), q in zip(tally, quotas(tally, shards), strict=True)]
+    dealt = spark.createDataFrame(ends, "_bytes long, _ends array<long>")
+    ranked = _rank(groups, ["_bytes"], "_bucket", ["_group"], "_rank").join(dealt, "_bytes")
+    placed = ranked.select("_group", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))).alias("shard"))
+    placed = rows.join(placed, "_group").withColumn("_bucket", F.pmod(F.xxhash64("_id", F.lit("slot")), F.lit(buckets)).cast("int"))
+    out = _rank(stored(placed, "sharded"), ["shard"], "_bucket", ["_id", "text_crc32", "size", "_group"], "slot")
+    return out.select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", "slot")
