@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leftdeep.llm import bpe, decontaminate, jaccard, pseudonyms, quality, scoring, sharding, substrings, urlfilter, wrappers
 from leftdeep.llm.session import short_batches
+from leftdeep.shared import stored
 
 #: For these queries only; a real corpus gets a secret one.
 PSEUDONYM_KEY = "an example key"
@@ -81,30 +82,10 @@ def repeated_substrings(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-#: A dated list for the query: kind, value, action, category, day.
-LIST = [
-    ("domain", "cheap-pills.example.com", "add", "spam", "2024-02-01"),
-    ("domain", "cheap-pills.example.com", "remove", "spam", "2024-09-15"),
-    ("domain", "cheap-pills.example.com", "add", "spam", "2025-03-01"),
-    ("host", "free-bets.example.com", "add", "gambling", "2024-01-01"),
-    ("host", "free-bets.example.com", "remove", "gambling", "2025-06-01"),
-    ("domain", "adult-x.example.net", "add", "adult", "2024-05-20"),
-    ("domain", "example.org", "add", "mirror", "2024-11-01"),
-    ("domain", "example.org", "remove", "mirror", "2025-02-01"),
-    ("prefix", "blog.tionsh.example.com/en", "add", "syndicated", "2024-07-01"),
-    ("domain", "tionsh.example.net", "add", "copies", "2024-03-10"),
-    ("prefix", "tionsh.example.net/de", "add", "translated", "2024-06-10"),
-    ("prefix", "tionsh.example.net/de", "remove", "translated", "2024-12-10"),
-]
-#: Pages carry no fetch time: they count as fetched on this many days in turn.
-FIRST_FETCH, DAYS = "2024-01-01", 730
-
-
 def temporal_url_filter(spark: SparkSession, d: str) -> DataFrame:
-    at = F.date_add(F.lit(FIRST_FETCH).cast("date"), F.pmod("page_id", F.lit(DAYS)).cast("int"))
-    captures = _read(spark, d, "pages", "page_id", "url").withColumn("fetched", at.cast("timestamp_ntz"))
-    entries = spark.createDataFrame(LIST, "kind string, value string, action string, category string, day string")
-    out = urlfilter.judge(captures, entries.withColumn("since", F.col("day").cast("timestamp_ntz")))
+    pages = _read(spark, d, "pages", "page_id", "url")
+    captures = pages.withColumn("fetched", urlfilter.fetched(F.col("page_id")).cast("timestamp_ntz"))
+    out = urlfilter.judge(captures, stored(urlfilter.listed(pages), "url-list"))
     return out.select("page_id", "url", F.col("fetched").cast("date").alias("fetched"), "blocked", "kind", "value", "category", F.col("since").cast("date").alias("since"))
 
 
@@ -123,5 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op2_winnowing_decontamination": decontaminate.sql(),
     "op4_quality_js_divergence": quality.sql(),
-    "op8_temporal_url_filter": urlfilter.sql(LIST, FIRST_FETCH, DAYS),
+    "op8_temporal_url_filter": urlfilter.sql(),
 }

@@ -14,6 +14,11 @@ ENTRIES = [
     ("domain", "bad.com", "add", "spam", D(2024, 5, 1)),
     ("domain", "sub.bad.com", "add", "b", D(2024, 1, 5)),
     ("domain", "sub.bad.com", "add", "a", D(2024, 1, 5)),
+    ("domain", "tie.com", "add", "adult", D(2024, 1, 5)),
+    ("domain", "tie.com", "add", "ad", D(2024, 1, 5)),
+    ("host", "[2001:DB8::1]", "add", "six", D(2024, 1, 1)),
+    ("prefix", "[2001:db8::1]/a//", "add", "six", D(2024, 1, 1)),
+    ("domain", "dot.com.", "add", "dot", D(2024, 1, 1)),
     ("host", "Only.org", "add", None, D(2024, 1, 1)),
     ("prefix", "x.net/a/b", "add", "p", D(2024, 2, 1)),
     ("domain", "gone.com", "add", "q", D(2024, 1, 1)),
@@ -36,6 +41,13 @@ CASES = [
     ("http://x.net/a/bc", D(2024, 2, 1), None, None),
     ("http://gone.com", D(2024, 2, 1), None, None),
     ("http://n.com", D(2024, 2, 1), None, None),
+    ("http://tie.com", D(2024, 2, 1), "domain", "tie.com"),
+    ("http://u:p@[2001:db8::1]:8080/b", D(2024, 2, 1), "host", "[2001:db8::1]"),
+    ("http://[2001:db8::1]/A/b", D(2024, 2, 1), "prefix", "[2001:db8::1]/a"),
+    ("http://www.dot.com../x", D(2024, 2, 1), "domain", "dot.com"),
+    ("http://x.net" + "/a" * 40_000, D(2024, 2, 1), None, None),
+    ("http://x.net/a/b" + "/c" * 40_000, D(2024, 2, 1), "prefix", "x.net/a/b"),
+    ("http://" + "a." * 40_000 + "bad.com", D(2024, 2, 1), "domain", "bad.com"),
     ("no url", D(2024, 2, 1), None, None),
     (None, D(2024, 2, 1), None, None),
     ("http://bad.com/x", None, None, None),
@@ -45,13 +57,15 @@ SCHEMA = "kind string, value string, action string, category string, since times
 
 @pytest.mark.parametrize("limit", [urlfilter.LIST_LIMIT, -1])
 def test_as_of_the_fetch(spark, limit):
-    rows = [(i, u, t, "old") for i, (u, t, _, _) in enumerate(CASES)] * 2
-    df = spark.createDataFrame(rows, "id long, url string, fetched timestamp_ntz, kind string")
+    rows = [(i, u, t, "old", "mine") for i, (u, t, _, _) in enumerate(CASES)] * 2
+    df = spark.createDataFrame(rows, "id long, url string, fetched timestamp_ntz, kind string, _url string")
     got = urlfilter.judge(df, spark.createDataFrame(ENTRIES, SCHEMA), salts=3, limit=limit).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r["kind"], r["value"], r["blocked"]) == (*CASES[r["id"]][2:], CASES[r["id"]][2] is not None), CASES[r["id"]]
     assert {r["category"] for r in got if r["value"] == "sub.bad.com"} == {"a"}
+    assert {r["category"] for r in got if r["value"] == "tie.com"} == {"ad"}
+    assert {r["_url"] for r in got} == {"mine"}
 
 
 def test_empty_tables(spark):
