@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from leftdeep.shared import stored
 
 #: Text of a chunk, and text whose keys a part takes.
-CHUNK_BYTES = PART_BYTES = 16 << 20
+CHUNK_BYTES, PART_BYTES = 8 << 20, 16 << 20
 KEY_BITS = 56
 ASKED = "level int, part int, chunk string, blob binary"
 U = np.uint64

@@ -76,19 +76,19 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.repeat(np.arange(len(counts)), counts)
 
 
-def grams(tokens: np.ndarray, text: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def grams(tokens: np.ndarray, text: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For n from 1 to ``order``: the key of the n-gram that ends at each token, and whether
     there is one. START stands before each text and begins n-grams, but is none."""
     new = np.concatenate(([True], text[1:] != text[:-1]))
     place = np.arange(len(tokens)) - np.flatnonzero(new)[np.cumsum(new) - 1]
     drop = U(64 - exchange.KEY_BITS)
-    out, run = [(tokens >> drop, np.ones(len(tokens), bool))], tokens
+    yield tokens >> drop, np.ones(len(tokens), bool)
+    run = tokens
     for n in range(2, order + 1):
         back = np.roll(tokens, n - 1)
         back[place == n - 2] = START
         run = mix(back * U(0x9E3779B97F4A7C15) + run + U(n))
-        out.append((run >> drop, place >= n - 2))
-    return out
+        yield run >> drop, place >= n - 2
 
 
 class Automaton:

@@ -375,7 +375,7 @@ def _remove(name: str, ids: list, texts: list[bytes], answers: pd.DataFrame) ->
     first, end = merged(*map(np.concatenate, zip(*spans, strict=True)))
     bounds = np.cumsum([0, *map(len, texts)])
     # A span never leaves its text, but those of neighbouring texts may touch.
-    inner = bounds[1:-1]
+    inner = np.unique(bounds[1:-1])
     owner = np.searchsorted(first, inner, side="right") - 1
     split = inner[(owner >= 0) & (first[owner] < inner) & (end[owner] > inner)] if len(first) else inner[:0]
     first, end = np.sort(np.concatenate((first, split))), np.sort(np.concatenate((end, split)))

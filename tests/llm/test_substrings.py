@@ -53,13 +53,33 @@ def test_against_brute_force(spark, size, hot):
     same(substrings.remove_repeats(frame(spark, rows), chunk_bytes=size, part_bytes=size * 3, hot=hot).collect(), brute(rows))
 
 
-def test_hot_windows_in_slices_and_input_whose_order_changes(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "SLICE", 500)
+def test_input_whose_order_changes(spark):
     rows = cases()
     df = frame(spark, rows).repartition(3).orderBy(F.rand())
     same(substrings.remove_repeats(df, chunk_bytes=9000, part_bytes=6000, hot=1).collect(), brute(rows))
 
 
+def test_hot_windows_in_slices(monkeypatch):
+    data = b"".join((t or "").encode() for _, t in cases())
+    found = substrings.runs([data])
+    run = np.arange(0, len(found["first"]), 2)
+    shown = run % 4 == 0
+    whole = list(substrings._slices(data, found, run, shown))
+    monkeypatch.setattr(substrings, "SLICE", 500)
+    some = list(substrings._slices(data, found, run, shown))
+    assert len(whole) == 1 < len(some)
+    count = lambda parts: sum((Counter(dict(zip(zip(k.tolist(), v.tolist(), strict=True), n.tolist(), strict=True))) for k, v, n, _, _ in parts), Counter())
+    assert count(whole) == count(some)
+    for k, _, _, start, at in some:
+        assert all(data[a : a + L] == data[b : b + L] for a, b, i, j in zip(start, start[1:], at, at[1:], strict=False) if i == j) and at[-1] == len(k) - 1
+
+
+def test_merged():
+    first, end = substrings.merged(np.array([5, 0, 2, 9, 20]), np.array([9, 3, 4, 10, 21]))
+    assert (first.tolist(), end.tolist()) == ([0, 5, 20], [4, 10, 21])
+    assert [x.tolist() for x in substrings.merged(np.empty(0, np.int64), np.empty(0, np.int64))] == [[], []]
+
+
 def test_long_texts_are_cut_for_hashing_only(monkeypatch):
     monkeypatch.setattr(substrings, "SEGMENT", 301)
     texts = [(t or "").encode() for _, t in cases()]
