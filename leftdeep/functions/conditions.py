@@ -23,12 +23,13 @@ OPERATORS = (">", "<", ">=", "<=", "=", "IN", "CONTAINS")
 
 @dataclass(frozen=True, eq=False)
 class ColumnRef:
-    """``col("alias.column")``; comparing it makes a Condition."""
+    """``col("alias.column")``, where the column may have dots of its own; comparing it makes a Condition."""
 
     name: str
 
     def __post_init__(self) -> None:
-        if self.name.count(".") != 1:
+        alias, _, column = self.name.partition(".")
+        if not alias or not column:
             raise ValueError(f"a column is written alias.column, not {self.name!r}")
 
     def __gt__(self, other: Any) -> Condition:
@@ -117,6 +118,8 @@ class Condition:
         if self.op == "OR":
             return self.lhs.compile(resolve, negated) | self.rhs.compile(resolve, negated)
         if self.op == "NOT":
+            if self.lhs.op == "NOT":  # the two cancel out
+                return self.lhs.lhs.compile(resolve, negated)
             return ~self.lhs.compile(resolve, True)
         leaf = self._leaf(resolve)
         return F.coalesce(leaf, F.lit(False)) if negated else leaf

@@ -29,13 +29,17 @@ def _check_types(left: Key, right: Key) -> None:
         raise ValueError("text is compared with numbers: give coerce_numeric=True")
 
 
+def comparable(left: Key, right: Key, op: str, coerce_numeric: bool = False) -> tuple[Column, Column]:
+    """The two expressions that are compared."""
+    if coerce_numeric:
+        return _coerced(left, right, op)
+    _check_types(left, right)
+    return left[0], right[0]
+
+
 def compare(left: Key, right: Key, op: str, null_safe: bool = False, coerce_numeric: bool = False) -> Column:
     """Null keys never match, unless ``null_safe`` (or ``<=>``): then null equals null."""
-    if coerce_numeric:
-        a, b = _coerced(left, right, op)
-    else:
-        _check_types(left, right)
-        a, b = left[0], right[0]
+    a, b = comparable(left, right, op, coerce_numeric)
     if op == "<=>" or (op == "=" and null_safe):
         return a.eqNullSafe(b)
     if op == "!=":

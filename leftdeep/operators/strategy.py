@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leftdeep.shared import stored
+
 HINTS = {"merge": "merge", "shuffle_hash": "shuffle_hash", "nested_loop": "shuffle_replicate_nl"}
 #: A forced broadcast is refused beyond this many bytes (Spark's own limit is 8 GB).
 BROADCAST_LIMIT = 512 << 20
@@ -31,35 +33,39 @@ def hinted(right: DataFrame, strategy: str | None) -> DataFrame:
     return right.hint(HINTS[strategy])
 
 
-def theta_join(left: DataFrame, right: DataFrame, cond: Column, how: str, op: str, keys: tuple[Column, Column], null_safe: bool) -> DataFrame:
+def theta_join(left: DataFrame, right: DataFrame, cond: Column, how: str, op: str, keys: tuple[Column, Column], null_safe: bool, nested_loop: bool = False, derived: bool = False) -> DataFrame:
     """A join by ``<``, ``>``, ``<=``, ``>=`` or ``!=`` that broadcasts no large side.
 
     Spark runs an outer join without an equality by broadcasting a whole side, at any
-    size. Where neither side is small, the matched pairs come from an inner join, and
-    whether a row has a partner at all is read off the other side's least and greatest
-    key, which is one row: ``l < r`` has a partner exactly if ``l < max(r)``.
+    size. Where neither side is small (or ``nested_loop`` asks for it), it becomes an inner
+    join: whether a row has a partner at all is read off the other side's least and greatest
+    key, which is one row (``l < r`` has a partner exactly if ``l < max(r)``), and rows
+    without one are paired with one row of nulls that is added to the other side.
+
+    So a left join uses its left side once. A right or full one needs the left side's least
+    and greatest key as well; a left side that is ``derived``, itself a result of joins, is
+    written first, so that a chain doubles no work and both uses see the same rows.
     """
-    if how == "inner" or small_enough(right) or small_enough(left):
+    if how == "inner" or (not nested_loop and (small_enough(right) or small_enough(left))):
         return left.join(right, cond, how)
-    out = left.join(right, cond, "inner")
-    nulls = lambda df: [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]
-    if how in ("left", "full"):
-        alone = _without_partner(left, keys[0], right, keys[1], op, null_safe)
-        out = out.unionByName(alone.select("*", *nulls(right)))
-    if how in ("right", "full"):
-        turned = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op)
-        alone = _without_partner(right, keys[1], left, keys[0], turned, null_safe)
-        out = out.unionByName(alone.select(*nulls(left), "*"))
-    return out
+    if derived and how in ("right", "full"):
+        left = stored(left, "left-side")
+    turned = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op)
+    lone_left = _without_partner(keys[0], _ends(right, keys[1]), op, null_safe) if how in ("left", "full") else None
+    lone_right = _without_partner(keys[1], _ends(left, keys[0]), turned, null_safe) if how in ("right", "full") else None
+    a = _tagged(left, "_l", lone_left, how in ("right", "full"))
+    b = _tagged(right, "_r", lone_right, how in ("left", "full"))
+    pair = (~F.col("_l_none") & ~F.col("_r_none") & cond) | (F.col("_l_lone") & F.col("_r_none")) | (F.col("_l_none") & F.col("_r_lone"))
+    return a.join(b, pair, "inner").drop("_l_none", "_r_none", "_l_lone", "_r_lone")
+
 
+def _ends(df: DataFrame, key: Column) -> DataFrame:
+    """One row: the least and greatest key, and how many rows and keys there are."""
+    return df.agg(F.min(key).alias("_least"), F.max(key).alias("_most"), F.count(F.lit(1)).alias("_rows"), F.count(key).alias("_keys"))
 
-def _without_partner(df: DataFrame, key: Column, other: DataFrame, other_key: Column, op: str, null_safe: bool) -> DataFrame:
-    ends = other.agg(
-        F.min(other_key).alias("_least"),
-        F.max(other_key).alias("_most"),
-        F.count(F.lit(1)).alias("_rows"),
-        F.count(other_key).alias("_keys"),
-    )
+
+def _without_partner(key: Column, ends: DataFrame, op: str, null_safe: bool) -> tuple[DataFrame, Column]:
+    """The other side's ends, and whether a row has no partner there."""
     least, most = F.col("_least"), F.col("_most")
     has = {
         "<": key < most,
@@ -70,5 +76,17 @@ def _without_partner(df: DataFrame, key: Column, other: DataFrame, other_key: Co
     }[op]
     if op == "!=" and null_safe:
         has = F.coalesce(has, F.lit(False)) | (key.isNotNull() & (F.col("_rows") > F.col("_keys"))) | (key.isNull() & (F.col("_keys") > 0))
-    kept = df.crossJoin(F.broadcast(ends)).where(~F.coalesce(has, F.lit(False)))
-    return kept.drop("_least", "_most", "_rows", "_keys")
+    return ends, ~F.coalesce(has, F.lit(False))
+
+
+def _tagged(df: DataFrame, tag: str, lone: tuple[DataFrame, Column] | None, add_none: bool) -> DataFrame:
+    """``df`` with ``{tag}_lone`` and ``{tag}_none``, which is true of the row of nulls only."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    if lone is None:
+        out = df.select(*columns, F.lit(False).alias(f"{tag}_lone"), F.lit(False).alias(f"{tag}_none"))
+    else:
+        out = df.crossJoin(F.broadcast(lone[0])).select(*columns, lone[1].alias(f"{tag}_lone"), F.lit(False).alias(f"{tag}_none"))
+    if add_none:
+        nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]
+        out = out.union(df.sparkSession.range(1).select(*nulls, F.lit(False).alias(f"{tag}_lone"), F.lit(True).alias(f"{tag}_none")))
+    return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leftdeep.functions.conditions import Condition
-from leftdeep.operators.keys import all_equal
+from leftdeep.operators.keys import all_equal, comparable
 from leftdeep.operators.strategy import hinted, theta_join
 from leftdeep.plans.model import JoinStep, TableRef
 from leftdeep.plans.naming import full_name, printable
@@ -23,7 +23,8 @@ from leftdeep.sources.resolver import Source
 
 @dataclass(frozen=True)
 class Timings:
-    """Seconds: reading the inputs alone, the whole plan, and what the joins add."""
+    """Seconds of one run: reading files (the tasks' time, spread over all cores), the whole
+    plan, and the rest, which is the joins'."""
 
     scan: float
     total: float
@@ -104,7 +105,7 @@ class JoinPlan:
                         raise ValueError(f"the join key {alias}.{c} must be among the selected columns")
         for condition in self.filters:
             for name in condition.columns():
-                alias, c = name.split(".")
+                alias, _, c = name.partition(".")
                 if alias not in raw:
                     raise ValueError(f"a filter names {alias!r}, which is not joined; joined: {list(raw)}")
                 self._known(raw, alias, c)
@@ -127,13 +128,14 @@ class JoinPlan:
             lefts = [key(step.left.name, c) for c in step.left.keys]
             rights = [key(step.right.name, c) for c in step.right_keys]
             cond = all_equal(lefts, rights, step.op, step.null_safe, step.coerce_numeric)
-            if step.op in ("=", "<=>") or step.coerce_numeric or left.isStreaming or right.isStreaming:
+            if step.op in ("=", "<=>") or left.isStreaming or right.isStreaming:
                 return left.join(right, cond, step.how)
-            return theta_join(left, right, cond, step.how, step.op, (lefts[0][0], rights[0][0]), step.null_safe)
+            keys = comparable(lefts[0], rights[0], step.op, step.coerce_numeric)
+            return theta_join(left, right, cond, step.how, step.op, keys, step.null_safe, step.strategy == "nested_loop", step is not self.steps[0])
 
         out = reduce(add, self.steps, tables[self.steps[0].left.name])
         for condition in self.filters:
-            out = out.where(condition.compile(lambda name: key(*name.split("."))))
+            out = out.where(condition.compile(lambda name: key(*name.split(".", 1))))
         chosen = self._selection()
         names = [
             full_name(a, c)
@@ -156,12 +158,21 @@ class JoinPlan:
         self.to_df().explain(mode)
 
     def timings(self) -> Timings:
-        """Runs the inputs alone and then the whole plan, into nothing."""
-
-        def seconds(dfs: Iterable[DataFrame]) -> float:
-            began = time.perf_counter()
-            for df in dfs:
-                df.write.format("noop").mode("overwrite").save()
-            return time.perf_counter() - began
-
-        return Timings(seconds(self._tables().values()), seconds([self.to_df()]))
+        """Runs the plan once, into nothing, and takes the times from that run."""
+        began = time.perf_counter()
+        run = self.to_df()._jdf.queryExecution()
+        run.toRdd().count()
+        total = time.perf_counter() - began
+        cores = max(1, self.spark.sparkContext.defaultParallelism)
+        return Timings(min(total, _scan_seconds(run.executedPlan()) / cores), total)
+
+
+def _scan_seconds(plan: Any) -> float:
+    """Seconds that the tasks of a plan that has run spent in its file scans, all added up."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return _scan_seconds(plan.executedPlan())
+    if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+        return _scan_seconds(plan.plan())
+    own = plan.metrics().get("scanTime")
+    children = plan.children()
+    return (own.get().value() / 1000 if own.isDefined() else 0.0) + sum(_scan_seconds(children.apply(i)) for i in range(children.size()))

@@ -61,6 +61,24 @@ def _as_text(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     }
 
 
+def _with_collections(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    digit = lambda i: F.substring("n_name", i, 1)
+    nation = spark.read.parquet(f"{d}/nation.parquet").withColumns({"n_digits": F.array(digit(8), digit(9)), "n_first": F.create_map(digit(8), F.col("n_regionkey"))})
+    return {"nation": nation, "region": spark.read.parquet(f"{d}/region.parquet")}
+
+
+def _contains(column: str, value: str) -> Query:
+    plan = lambda s, d: JoinPlan(s, _with_collections(s, d)).join(NATION, REGION).select("nation", ["n_name", "n_regionkey"])
+    return lambda s, d: plan(s, d).filter_by(col(f"nation.{column}").contains(value)).to_df()
+
+
+def _json_inferred(spark: SparkSession, d: str) -> DataFrame:
+    df = part_nation(spark, d, "full_outer_join").select("part", ["p_partkey", "p_size"]).select("nation", ["n_nationkey", "n_name"]).to_df()
+    path = scratch_path(spark, "json")
+    write_json_lines(df, path)
+    return read_json_lines(spark, path)
+
+
 def _json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     df = part_nation(spark, d, "full_outer_join").to_df()
     path = scratch_path(spark, "json")
@@ -127,6 +145,26 @@ QUERIES: dict[str, Query] = {
     "coerced_equal": lambda s, d: JoinPlan(s, _as_text(s, d) | {"customer": s.read.parquet(f"{d}/customer.parquet")})
     .join(NATION_ID, T("customer", "c_nationkey"), coerce_numeric=True)
     .to_df(),
+    "theta_coerced_left": lambda s, d: JoinPlan(s, _as_text(s, d)).left_join(NATION_ID, SUPPLIER, ">", coerce_numeric=True, strategy="nested_loop").to_df(),
+    "theta_chain_left": lambda s, d: JoinPlan(s, d)
+    .left_join(T("nation", "n_nationkey", "first"), SUPPLIER, ">", strategy="nested_loop")
+    .left_join(T("supplier", "s_nationkey"), T("region", "r_regionkey"), "<=", strategy="nested_loop")
+    .left_join(T("region", "r_regionkey"), T("nation", "n_regionkey", "other"), "<", strategy="nested_loop")
+    .to_df(),
+    "theta_chain_full": lambda s, d: JoinPlan(s, d)
+    .full_outer_join(NATION_ID, SUPPLIER, ">", strategy="nested_loop")
+    .full_outer_join(T("supplier", "s_nationkey"), T("region", "r_regionkey"), "<", strategy="nested_loop")
+    .to_df(),
+    "composite_full": lambda s, d: JoinPlan(s, _with_null_keys(s, d))
+    .full_outer_join(T("nation_n", ("n_nationkey", "n_regionkey"), "a"), T("nation", alias="b"))
+    .to_df(),
+    "join_merge": lambda s, d: JoinPlan(s, d).join(T("orders", "o_custkey"), T("customer", "c_custkey"), strategy="merge").to_df(),
+    "join_shuffle_hash": lambda s, d: JoinPlan(s, d).left_join(T("orders", "o_custkey"), T("customer", "c_custkey"), strategy="shuffle_hash").to_df(),
+    "join_broadcast": lambda s, d: JoinPlan(s, d).join(T("lineitem", "l_suppkey"), T("supplier", "s_suppkey"), strategy="broadcast").to_df(),
+    "contains_array": _contains("n_digits", "1"),
+    "contains_map": _contains("n_first", "2"),
+    "filter_not_not": _filtered(~~(col("orders.o_totalprice") > 100000)),
+    "json_inferred": _json_inferred,
     "filter_range": _filtered((col("orders.o_totalprice") > 100000) & (col("customer.c_acctbal") <= 5000)),
     "filter_between": _filtered((col("orders.o_totalprice") < 50000) & (col("customer.c_acctbal") >= 1000)),
     "filter_eq": _filtered(col("orders.o_orderstatus") == "F"),
@@ -178,6 +216,11 @@ def _left_where(cond: str) -> str:
     return _sql(["part", "nation"], f"{PART_NATION.format('LEFT')} WHERE {cond}")
 
 
+def _digits(cond: str) -> str:
+    columns = "n_name AS nation__n_name, n_regionkey AS nation__n_regionkey"
+    return f"SELECT {columns}, {_cols('region')} FROM nation JOIN region ON n_regionkey = r_regionkey WHERE {cond}"
+
+
 ORACLE: dict[str, str] = {
     "inner_join": _sql(["orders", "customer"], ORDERS_CUSTOMER),
     "left_join": _sql(["part", "nation"], PART_NATION.format("LEFT")),
@@ -202,6 +245,17 @@ ORACLE: dict[str, str] = {
     "theta_coerced": _sql(["nation", "supplier"], f"{NATION_TEXT} JOIN {SUPPLIER_TEXT} ON TRY_CAST(n_nationkey AS DOUBLE) > TRY_CAST(s_suppkey AS DOUBLE)"),
     "theta_uncoerced": _sql(["nation", "supplier"], f"{NATION_TEXT} JOIN {SUPPLIER_TEXT} ON n_nationkey > s_suppkey"),
     "coerced_equal": _sql(["nation", "customer"], f"{NATION_TEXT} JOIN customer ON TRY_CAST(n_nationkey AS DOUBLE) = c_nationkey"),
+    "theta_coerced_left": _sql(["nation", "supplier"], f"{NATION_TEXT} LEFT JOIN {SUPPLIER_TEXT} ON TRY_CAST(n_nationkey AS DOUBLE) > TRY_CAST(s_suppkey AS DOUBLE)"),
+    "theta_chain_left": _sql(["first=nation", "supplier", "region", "other=nation"], "nation first LEFT JOIN supplier ON first.n_nationkey > s_suppkey LEFT JOIN region ON s_nationkey <= r_regionkey LEFT JOIN nation other ON r_regionkey < other.n_regionkey"),
+    "theta_chain_full": _sql(["nation", "supplier", "region"], "nation FULL JOIN supplier ON n_nationkey > s_suppkey FULL JOIN region ON s_nationkey < r_regionkey"),
+    "composite_full": _sql(["a=nation", "b=nation"], f"{NATION_NULL} a FULL JOIN nation b ON a.n_nationkey = b.n_nationkey AND a.n_regionkey = b.n_regionkey"),
+    "join_merge": _sql(["orders", "customer"], ORDERS_CUSTOMER),
+    "join_shuffle_hash": _on("orders", "customer", "o_custkey = c_custkey", "LEFT"),
+    "join_broadcast": _on("lineitem", "supplier", "l_suppkey = s_suppkey"),
+    "contains_array": _digits("substr(n_name, 8, 1) = '1' OR substr(n_name, 9, 1) = '1'"),
+    "contains_map": _digits("substr(n_name, 8, 1) = '2'"),
+    "filter_not_not": _where("o_totalprice > 100000"),
+    "json_inferred": f"SELECT p_partkey AS part__p_partkey, p_size AS part__p_size, n_nationkey AS nation__n_nationkey, n_name AS nation__n_name FROM {PART_NATION.format('FULL')}",
     "filter_range": _where("o_totalprice > 100000 AND c_acctbal <= 5000"),
     "filter_between": _where("o_totalprice < 50000 AND c_acctbal >= 1000"),
     "filter_eq": _where("o_orderstatus = 'F'"),

@@ -6,18 +6,31 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only by a session on one machine that names no folder, as in tests.
 LOCAL_DEFAULT = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; set to a local folder only where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The session's ``spark.checkpoint.dir``, else what ``setCheckpointDir`` was given. Without
+    either, a session on one machine has LOCAL_DEFAULT; a cluster has to name a folder, as its
+    machines see no folder of each other."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or LOCAL_DEFAULT).rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/leftdeep/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/leftdeep/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path; whatever is written there goes when the application ends, if not before."""
+    path = _own_dir(spark)
+    target, files = _on_files(spark, path)
+    files.deleteOnExit(target)
+    return f"{path}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -28,6 +41,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _on_files(spark, path)
+    files.delete(target, True)
+
+
+def remove_all(spark: SparkSession) -> None:
+    """Deletes every intermediate table of this application: for long sessions, between queries
+    whose results have been used."""
+    remove(spark, _own_dir(spark))
+
+
+def _on_files(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(sc._jsc.hadoopConfiguration())

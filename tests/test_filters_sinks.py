@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
+from types import SimpleNamespace
 
 import pytest
 
-from leftdeep import Condition, JoinPlan, TableRef, col, read_json_lines
+from leftdeep import Condition, JoinPlan, TableRef, col, read_json_lines, shared
 from leftdeep.operators.bucketed import save_bucketed
 from leftdeep.sources.json_lines import write_json_lines
 from leftdeep.streaming.sink import stream_json
@@ -94,6 +95,33 @@ def test_display_and_timings(spark):
     assert said == ["EMPTY RESULT SET"]
     t = p.timings()
     assert t.total >= t.join >= 0
+    t = JoinPlan(spark, D).join(TableRef("lineitem", "l_orderkey"), TableRef("orders", "o_orderkey")).timings()
+    assert 0 < t.scan <= t.total
+
+
+def test_columns_with_dots_and_cancelled_nots(spark):
+    t = spark.createDataFrame([(1, 5), (2, None)], "i int, `a.b` int")
+    p = JoinPlan(spark, {"t": t, "u": t}).join(TableRef("t", "i"), TableRef("u", "i"))
+    assert [r["t__i"] for r in p.filter_by(col("t.a.b") > 4).to_df().collect()] == [1]
+    twice = JoinPlan(spark, D).join(TableRef("orders", "o_custkey"), TableRef("customer", "c_custkey")).filter_by(~~(col("orders.o_totalprice") > 9e4))
+    assert "GreaterThan(o_totalprice" in twice.to_df()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folder_for_intermediate_tables(spark, tmp_path, monkeypatch):
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://somewhere:7077", getConf=dict, getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(session)
+    session.sparkContext.master = "local[2]"
+    assert shared.shared_dir(session) == shared.LOCAL_DEFAULT
+    session.sparkContext.getCheckpointDir = lambda: "/given"
+    assert shared.shared_dir(session) == "/given"
+    session.conf = {"spark.checkpoint.dir": "/set/"}
+    assert shared.shared_dir(session) == "/set"
+    monkeypatch.setattr(shared, "shared_dir", lambda s: str(tmp_path))
+    df = shared.stored(spark.range(3), "numbers")
+    assert df.count() == 3 and list(tmp_path.rglob("*.parquet"))
+    shared.remove_all(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark):

@@ -75,6 +75,27 @@ def test_outer_theta_plan_has_no_table_broadcast(spark, monkeypatch):
     assert "CartesianProduct" in plan and "FullOuter" not in plan
 
 
+def test_chains_of_outer_theta_joins_double_no_work(spark):
+    d = "/root/testdata/sf0.001"
+
+    def scans(how, steps):
+        plan = JoinPlan(spark, d)
+        for i in range(steps):
+            left = T("nation", "n_nationkey", "t0") if not i else T("region", "r_regionkey", f"t{i}")
+            plan = getattr(plan, HOWS[how])(left, T("region", "r_regionkey", f"t{i + 1}"), "<", strategy="nested_loop")
+        return plan.to_df()._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+    assert [scans("left", n) for n in (1, 2, 3, 4)] == [3, 5, 7, 9]
+    assert scans("full", 2) == scans("full", 3) == scans("full", 4)
+
+
+def test_coerced_outer_theta_broadcasts_no_table(spark):
+    src = {"l": spark.createDataFrame([("1", "a"), ("x", "b"), (None, "c"), ("5", "d")], "k string, v string"), "r": spark.createDataFrame([(2, "p"), (0, "q")], "k int, w string")}
+    df = JoinPlan(spark, src).full_outer_join(T("l", "k"), T("r"), ">", coerce_numeric=True, strategy="nested_loop").to_df()
+    assert "FullOuter" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["l__v"] or "", r["r__w"] or "") for r in df.collect()) == [("a", "q"), ("b", ""), ("c", ""), ("d", "p"), ("d", "q")]
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 4)), st.sampled_from("ab")), max_size=6),
