@@ -16,8 +16,9 @@ a host, one a task, merge in the end; no task holds a host's pages. A wrapper ke
 as many items as there are kinds of places on the host's pages.
 
 The region of the article is read off page by page, as a host may have several templates:
-a page's ``article`` elements, else its ``main``, or else its body; in it, places for menus, headers, footers, asides, adverts, forms, notices,
-comments and the like are closed by a list of tags and class words. A class word alone
+a page's ``article`` elements, else its ``main``, or else its body; in it, places for menus,
+headers, footers, asides, adverts, forms, notices, comments and the like are closed by a
+list of tags and class words. Of a header inside an article its headings stay. A class word alone
 closes no element that is needed: an article or main inside is the region if it has more
 text than what is open without it, and where a region has no other text, the element that
 holds most of it is opened, unless all its words are on the list. What else is template
@@ -31,7 +32,9 @@ A null page is empty and has no text; so has a page whose region is empty. Pages
 a host share the wrapper of the host "". Rows are independent otherwise: repeats add
 nothing to a wrapper. Any number of pages may come from one host: wrappers within
 BROADCAST estimated bytes are broadcast; beyond, they are joined under SALTS salts.
-An empty table gives an empty result; existing columns with an output's name are replaced.
+A page of any length is read whole, in time in proportion to it; a tag that never ends ends
+at the next ``>``. An empty table gives an empty result; an existing column with the output's
+name is replaced, all others, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -50,6 +53,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leftdeep.llm.session import unused
 from leftdeep.operators.strategy import plan_bytes
 from leftdeep.shared import stored
 
@@ -74,8 +78,14 @@ LISTS = {"ul", "ol", "dl", "table", "select"}
 CLOSED_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead "
     "notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login share sharing social comment comments disqus reply replies respond related recommended "
-    "widget widgets toolbar pagination pager skip alert contentinfo complementary search byline".split()
+    "widget widgets toolbar pagination pager skip alert contentinfo complementary byline".split()
 )
+#: A search form's words: with any other word an element is about something else.
+SEARCH, SEARCH_WORDS = "search", {*"search form box bar field input button site top header nav wrap wrapper container widget".split()}
+#: Words of a heading's place: in an article its headings are the article's own.
+HEADER_WORDS, HEADINGS = {"header", "masthead", "banner"}, set("h1 h2 h3 h4 h5 h6".split())
+#: Raw elements that a slash before the end of their tag closes.
+FOREIGN = ("svg", "math")
 #: Regions that may hold the article, the first that a page has.
 REGIONS = ("article", "main", "body")
 #: Elements that their class doesn't close.
@@ -90,9 +100,11 @@ HOSTS = 2_000
 #: places of the pages have no limit), and items of a sequence beyond which it becomes one
 #: repeated group of its kinds of items.
 DEEPEST, LONGEST = 100, 48
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)", re.S)
+#: Up to the end of a tag: with quoted values, or as it comes.
+QUOTED, PLAIN = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"), re.compile(r"([^>]*)(?:>|\Z)")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-END_OF_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+END_OF_RAW = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 SLOT = 0  # in a wrapper's node: any text
 
 
@@ -125,6 +137,7 @@ def parse(page: str) -> Node:
     text: list[str] = []
     opened: Counter[str] = Counter()
     ending: list[int] = []  # where in path lists and elements of ENDED_BY are
+    quotes = sections = True  # whether quotes, and CDATA sections, have ended so far
 
     def cut(depth: int) -> None:
         opened.subtract(n.sig[0] for n in path[depth:])
@@ -143,14 +156,20 @@ def parse(page: str) -> Node:
         text.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                text.append(entities.escape(m[0][9:-3]))
+            if m[0] == "<![CDATA[":
+                end = page.find("]]>", at) if sections else -1
+                sections = end >= 0
+                text.append(entities.escape(page[at:end]) if sections else "")
+                at = end + 3 if sections else PLAIN.match(page, at).end()
             continue
-        tag = m[2].lower()
+        tag, rest = m[2].lower(), QUOTED.match(page, at) if quotes else None
+        if rest is None:
+            quotes, rest = False, PLAIN.match(page, at)
+        at, attributes = rest.end(), rest[1]
         if tag == "br":
             text.append(" ")
         elif tag in RAW:
-            if not m[1] and not m[3].endswith("/"):
+            if not m[1] and not (tag in FOREIGN and attributes.endswith("/")):
                 end = END_OF_RAW[tag].search(page, at)
                 at = end.end() if end else len(page)
         elif tag in INLINE:
@@ -174,9 +193,9 @@ def parse(page: str) -> Node:
                     if tag in ENDED_BY[own]:
                         cut(i)
                         break
-            node = Node((tag, _words(m[3])))
+            node = Node((tag, _words(attributes)))
             path[-1].parts.append(node)
-            if tag not in VOID and not m[3].endswith("/"):
+            if tag not in VOID:
                 if tag in LISTS or tag in ENDED_BY:
                     ending.append(len(path))
                 path.append(node)
@@ -306,7 +325,12 @@ def closed(sig: tuple) -> bool:
 
 def shut(sig: tuple) -> bool:
     """Whether its class closes the element, if it isn't needed."""
-    return not CLOSED_WORDS.isdisjoint(sig[1])
+    return not CLOSED_WORDS.isdisjoint(sig[1]) or (SEARCH in sig[1] and SEARCH_WORDS.issuperset(sig[1]))
+
+
+def heads(sig: tuple) -> bool:
+    """Whether the element is a heading's place: closed as such, and for nothing else."""
+    return "[hidden]" not in sig[1] and HEADER_WORDS.issuperset(CLOSED_WORDS.intersection(sig[1])) and (sig[0] == "header" or (sig[0] not in CLOSED_TAGS and not HEADER_WORDS.isdisjoint(sig[1])))
 
 
 class Line(NamedTuple):
@@ -328,18 +352,25 @@ class Lines:
         self.lines: list[Line] = []
         self.outer, self.mixed = [0], [True]
         self.found: set[str] = set()
-        number, stack = 0, [(page, wrapper, 0, 0, {})]
+        number, stack = 0, [(page, wrapper, 0, 0, {}, None)]
         while stack:
-            node, place, depth, around, regions = stack.pop()
+            node, place, depth, around, regions, head = stack.pop()
             if isinstance(node, str):
                 fixed = bool(place and place[3]) and len(place[3].get(_mark(node), ())) >= ENOUGH
                 self.lines.append(Line(node, fixed, around, regions))
                 continue
             (tag, words), number = node.sig, number + 1
             whole = tag in WHOLE and "article" not in regions
-            if closed(node.sig) and not whole:
+            if "article" in regions and head is None and heads(node.sig):
+                head = around  # of what is in here only headings are open
+                self.outer.append(around)
+                self.mixed.append(False)
+                around = len(self.outer) - 1
+            elif closed(node.sig) and not whole:
                 continue
-            if shut(node.sig) and not whole:
+            elif head is not None and tag in HEADINGS:
+                around = head
+            elif shut(node.sig) and not whole:
                 self.outer.append(around)
                 self.mixed.append(not CLOSED_WORDS.issuperset(words))
                 around = len(self.outer) - 1
@@ -350,9 +381,9 @@ class Lines:
                     self.found.add(kind)
             if depth < DEEPEST:
                 places = iter(_places([p for p in node.parts if not isinstance(p, str)], place[2] if place else []))
-                below = [(p, place if isinstance(p, str) else next(places), depth + 1, around, regions) for p in node.parts]
+                below = [(p, place if isinstance(p, str) else next(places), depth + 1, around, regions, head) for p in node.parts]
             else:
-                below = [(p, place, depth + 1, around, regions) for p in node.parts]
+                below = [(p, place, depth + 1, around, regions, head) for p in node.parts]
             stack += reversed(below)
 
     def of(self, kind: str | None) -> list[Line]:
@@ -446,7 +477,9 @@ def _frame(own: dict[str, tuple]) -> pd.DataFrame:
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text", salts: int = SALTS, broadcast: int = BROADCAST) -> DataFrame:
     """``pages`` with ``text_col``, the main text of each."""
-    wrappers = stored(_wrappers(pages, url_col, html_col), "wrappers").withColumnsRenamed({"host": "_w_host", "wrapper": "_w_wrapper"})
+    wrappers = stored(_wrappers(pages, url_col, html_col), "wrappers")
+    own_host, own_wrapper, salt = (unused(pages, x) for x in ("host", "wrapper", "salt"))
+    wrappers = wrappers.withColumnsRenamed({"host": own_host, "wrapper": own_wrapper})
 
     @F.pandas_udf("string")
     def host(urls: pd.Series) -> pd.Series:
@@ -462,12 +495,12 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", te
             out.append(extract(parse(page or ""), read[blob]))
         return pd.Series(out, dtype=object)
 
-    rows = pages.withColumn("_w_host", host(F.coalesce(F.col(url_col), F.lit(""))))
+    rows = pages.withColumn(own_host, host(F.coalesce(F.col(url_col), F.lit(""))))
     if plan_bytes(wrappers) <= broadcast:
-        rows = rows.join(F.broadcast(wrappers), "_w_host")
+        rows = rows.join(F.broadcast(wrappers), own_host)
     else:
-        rows = rows.withColumn("_w_salt", F.pmod(F.xxhash64(url_col, html_col), F.lit(salts)))
-        spread = wrappers.withColumn("_w_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        rows = rows.join(spread, ["_w_host", "_w_salt"])
-    done = rows.withColumn(text_col, text(F.coalesce(F.col(html_col), F.lit("")), F.col("_w_wrapper")))
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64(url_col, html_col), F.lit(salts)))
+        spread = wrappers.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        rows = rows.join(spread, [own_host, salt])
+    done = rows.withColumn(text_col, text(F.coalesce(F.col(html_col), F.lit("")), F.col(own_wrapper)))
     return done.select(*[F.col(f"`{c}`") for c in pages.columns if c != text_col], F.col(text_col))

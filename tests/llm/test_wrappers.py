@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import time
 from functools import reduce
 
 import pytest
@@ -117,6 +118,33 @@ def test_class_words_still_close():
     assert one("<body><p>a</p><div class='comments'><p>a long comment</p></div></body>") == "a"
 
 
+def test_tags_as_browsers_read_them():
+    assert one("<p>a</p><script src=x/>alert(1)</script><p>b</p>") == "a\nb"
+    assert one("<svg/><p>a</p><svg><text>t</text></svg><div/><p>b") == "a\nb"
+    assert one("<p>a<![CDATA[ x < y ]]>b</p><![CDATA[ open <p>c") == "a x < y b\nc"
+    assert one("<p>a <!DOCTYPE") == "a"
+    assert one('<p title="1 > 0">a</p><p title="never>b</p><p>c') == "a\nb\nc"
+
+
+def test_headers_of_articles_and_results_of_searches():
+    head = "<h1>Title</h1><p>by me</p>"
+    for element in ("div class='entry-header'", "header", "header class='post-header'"):
+        assert one(f"<body><header><h1>Site</h1></header><article><{element}>{head}</{element.split()[0]}><p>text</p></article>") == "Title\ntext"
+    assert one("<article><div class='page-header ad'><h1>no</h1></div><p>text</p></article>") == "text"
+    assert one("<article><h1>t</h1><div class='search-results'><p>a</p></div><div class='search-form'>Find</div><div id=search>x</div></article>") == "t\na"
+
+
+@pytest.mark.parametrize("bit", ['<a "', "<a '\"", "<![CDATA[", "<![CDATA[>", "<!--", "<!", "</script ", "<script>", "<p class=\"x", "<div>", "</div>", "&#", "class ", "<li>", "<td a='>"])
+def test_time_in_proportion_to_length(bit):
+    def seconds(n):
+        began = time.perf_counter()
+        one(f"<article><p>a</p>{bit * n}")
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 8
+
+
 def simple(page):
     """The test tables' pages, read plainly."""
     body = re.search(r"<article>(.*?)</article>", re.sub(r"<script>.*?</script>", "", page, flags=re.S), re.S)[1]
@@ -134,6 +162,8 @@ def test_rows(spark, limit):
     second = "Title 6\nFirst 7 & more of it\nSecond <b> 8\nThird one"
     assert got == [(1, "Title 2\nFirst 3 & more of it\nSecond <b> 4\nThird one"), (2, second), (2, second), (3, ""), (4, ""), (5, "x"), (6, "d")]
     assert wrappers.main_text(df.limit(0)).count() == 0
+    clash = df.selectExpr("*", "1 AS _host", "2 AS _w_wrapper", "3 AS _wrapper", "4 AS _Salt")
+    assert {tuple(r)[-4:] for r in wrappers.main_text(clash, broadcast=limit).select("page_id", "_host", "_w_wrapper", "_wrapper", "_Salt").collect()} == {(1, 2, 3, 4)}
 
 
 def test_query(spark):
