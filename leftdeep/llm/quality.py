@@ -14,9 +14,10 @@ Base rules reject before that: fewer than ``min_words_kept`` words, or over
 Everything is a native expression. The features are computed in one scan and written
 beside the columns that the result carries; references and verdicts come from that table.
 Only the references, one row a language of the list plus one for all others, are broadcast. Null and empty texts have
-no words and fail the base rules. A null or unlisted language is judged as "other".
-Rows are independent of their repetitions; an empty table gives an empty result.
-Existing columns with an output's name are replaced.
+no words and fail the base rules; a text of any length is judged whole. A null or unlisted
+language is judged as "other". Rows are independent of their repetitions; an empty table
+gives an empty result. Existing columns with an output's name are replaced; all others,
+whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -106,14 +107,9 @@ def _features(df: DataFrame, text_col: str, lang_col: str, prefix: str = "_q_")
     rest = F.col(name("chars")) - sum(known[1:], known[0])
     listed = sorted({w for v in COMMON_WORDS.values() for w in v.split()})
     longest = max(len(x.encode()) for x in listed) + 4  # longer ones aren't worth a look
-    short = F.filter(name("words"), lambda w: F.octet_length(w) <= longest)
-    codes = F.array_join(
-        F.filter(
-            F.transform(short, lambda w: F.array_position(F.array(*[F.lit(x) for x in listed]), F.lower(w)).cast("int")),
-            lambda i: i > 0,
-        ),
-        ",",
-    )
+    lower = F.transform(F.filter(name("words"), lambda w: F.octet_length(w) <= longest), F.lower)
+    found = F.filter(lower, lambda w: w.isin(listed))  # a look-up in a hash set
+    codes = F.array_join(F.transform(found, lambda w: F.array_position(F.array(*[F.lit(x) for x in listed]), w).cast("int")), ",")
     df = df.withColumn(name("codes"), F.concat(F.lit(","), F.replace(codes, F.lit(","), F.lit(",,")), F.lit(",")))
     hits = [
         ((F.octet_length(name("codes")) - F.octet_length(F.replace(F.col(name("codes")), F.lit(f",{i},"), F.lit("")))) / (len(str(i)) + 2)).cast("long")
@@ -130,21 +126,19 @@ def _features(df: DataFrame, text_col: str, lang_col: str, prefix: str = "_q_")
     )
 
 
-def references(features: DataFrame, limits: Limits) -> DataFrame:
+def references(features: DataFrame, limits: Limits, prefix: str = "_q_") -> DataFrame:
     """One row a language: the summed bins of its documents, and their words. At most
     len(LANGUAGES) + 1 rows."""
-    found = features.where(F.col("_q_n_words") >= limits.min_words)
+    name = lambda x: f"{prefix}{x}"
+    found = features.where(F.col(name("n_words")) >= limits.min_words)
     n_class, n_word = len(CLASSES) + 3, len({w for v in COMMON_WORDS.values() for w in v.split()}) + 1
-    flat = found.select("_q_lang", "_q_n_words", *[F.col("_q_class_bins")[i].alias(f"c{i}") for i in range(n_class)], *[F.col("_q_word_bins")[i].alias(f"w{i}") for i in range(n_word)])
-    sums = flat.groupBy("_q_lang").agg(
-        F.sum(F.col("_q_n_words").cast("long")).alias("_q_ref_words"),
-        *[F.sum(c).alias(c) for c in flat.columns[2:]],
-    )
+    bins = {f"c{i}": F.col(name("class_bins"))[i] for i in range(n_class)} | {f"w{i}": F.col(name("word_bins"))[i] for i in range(n_word)}
+    sums = found.groupBy(name("lang")).agg(F.sum(F.col(name("n_words")).cast("long")).alias(name("ref_words")), *[F.sum(c).alias(k) for k, c in bins.items()])
     return sums.select(
-        "_q_lang",
-        "_q_ref_words",
-        F.array(*[f"c{i}" for i in range(n_class)]).alias("_q_ref_class"),
-        F.array(*[f"w{i}" for i in range(n_word)]).alias("_q_ref_word"),
+        name("lang"),
+        name("ref_words"),
+        F.array(*[f"c{i}" for i in range(n_class)]).alias(name("ref_class")),
+        F.array(*[f"w{i}" for i in range(n_word)]).alias(name("ref_word")),
     )
 
 
@@ -161,32 +155,36 @@ def judge(df: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang
     """The ``carried`` columns of ``df`` (all, if None) with n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, class_distance, word_distance, base_failed and kept."""
     columns = df.columns if carried is None else list(carried)
-    out = _features(df, text_col, lang_col)
-    lines = F.filter(F.split("_q_text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    out = out.withColumns({"_q_repeat": repeated_words(F.col("_q_words")), "_q_dup": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))})
+    prefix = "_q_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    own = lambda x: F.col(f"{prefix}{x}")
+    out = _features(df, text_col, lang_col, prefix)
+    lines = F.filter(F.split(own("text"), "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
+    out = out.withColumns({f"{prefix}repeat": repeated_words(own("words")), f"{prefix}dup": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))})
     used = ("lang", "n_words", "chars", "spaces", "symbols", "dup", "repeat", "class_bins", "word_bins")
-    out = stored(out.select(*[F.col(f"`{c}`") for c in columns], *[f"_q_{c}" for c in used]), "features")
-    out = out.join(F.broadcast(references(out, limits)), "_q_lang", "left")
+    out = stored(out.select(*[F.col(f"`{c}`") for c in columns], *[f"{prefix}{c}" for c in used]), "features")
+    out = out.join(F.broadcast(references(out, limits, prefix)), f"{prefix}lang", "left")
     out = out.withColumns(
         {
-            "_q_class_distance": js_distance(F.col("_q_class_bins"), F.col("_q_ref_class")),
-            "_q_word_distance": js_distance(F.col("_q_word_bins"), F.col("_q_ref_word")),
-            "_q_failed": (F.col("_q_n_words") < limits.min_words_kept) | (F.col("_q_repeat") * 100 > F.col("_q_n_words") * limits.max_repeated),
+            f"{prefix}class_distance": js_distance(own("class_bins"), own("ref_class")),
+            f"{prefix}word_distance": js_distance(own("word_bins"), own("ref_word")),
+            f"{prefix}failed": (own("n_words") < limits.min_words_kept) | (own("repeat") * 100 > own("n_words") * limits.max_repeated),
         }
     )
-    judged = (F.col("_q_n_words") >= limits.min_words) & (F.coalesce(F.col("_q_ref_words"), F.lit(0)) >= limits.min_reference_words)
-    common = F.col("_q_n_words") >= limits.min_words_common
-    far = (F.col("_q_class_distance") > limits.max_class_distance) | (common & (F.col("_q_word_distance") > limits.max_word_distance))
+    judged = (own("n_words") >= limits.min_words) & (F.coalesce(own("ref_words"), F.lit(0)) >= limits.min_reference_words)
+    common = own("n_words") >= limits.min_words_common
+    far = (own("class_distance") > limits.max_class_distance) | (common & (own("word_distance") > limits.max_word_distance))
     results = {
-        "n_words": F.col("_q_n_words").cast("long"),
-        "word_chars": (F.col("_q_chars") - F.col("_q_spaces")).cast("long"),
-        "n_symbols": F.col("_q_symbols").cast("long"),
-        "n_dup_lines": F.col("_q_dup").cast("long"),
-        "n_repeat_words": F.col("_q_repeat").cast("long"),
-        "class_distance": F.col("_q_class_distance"),
-        "word_distance": F.col("_q_word_distance"),
-        "base_failed": F.col("_q_failed"),
-        "kept": ~F.col("_q_failed") & ~(judged & F.coalesce(far, F.lit(False))),
+        "n_words": own("n_words").cast("long"),
+        "word_chars": (own("chars") - own("spaces")).cast("long"),
+        "n_symbols": own("symbols").cast("long"),
+        "n_dup_lines": own("dup").cast("long"),
+        "n_repeat_words": own("repeat").cast("long"),
+        "class_distance": own("class_distance"),
+        "word_distance": own("word_distance"),
+        "base_failed": own("failed"),
+        "kept": ~own("failed") & ~(judged & F.coalesce(far, F.lit(False))),
     }
     return out.select(*[F.col(f"`{c}`") for c in columns if c not in results], *[c.alias(k) for k, c in results.items()])
 

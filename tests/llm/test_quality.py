@@ -96,3 +96,10 @@ def test_query_against_sql_and_brute_force(spark):
 def test_no_python_in_the_plan(spark):
     plan = queries.quality_js_divergence(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_helper_names_are_free(spark):
+    df = frame(spark, corpus()).selectExpr("*", "1 AS _q_lang", "2 AS `__q_text`", "3 AS _Q_words")
+    got = quality.judge(df).collect()
+    assert len(got) == len(corpus()) and {(r["_q_lang"], r["__q_text"], r["_Q_words"]) for r in got} == {(1, 2, 3)}
+    assert {r["doc_id"]: r["kept"] for r in got} == {r["doc_id"]: r["kept"] for r in quality.judge(frame(spark, corpus())).collect()}
