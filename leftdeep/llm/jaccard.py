@@ -17,20 +17,27 @@ as one shingle). Two documents link when their sets' Jaccard similarity is at le
    member of a group with the group's first, are verified, and verified pairs form
    components. The second round picks among partners of other components. A crowd of near
    copies thus becomes few components through about as many pairs as members.
-5. All pairs of groups that share a prefix shingle, are of compatible size, aren't yet in
-   one component and can still reach the overlap (by what their prefixes share and what is
-   left) are expanded to their members and verified exactly, as are the members of one
-   group that are still apart. So no link between different components is missed, and
-   pairs inside a component, which can't change the result, are not made.
-
-No posting list is gathered in a task: lists are sorted and joined by Spark, which spills
-and splits them. Only the texts of candidate pairs are moved: a filter of fixed size picks
-them out of the scan.
-
-Null texts and texts without words have an empty set and no links. Repeated rows are in
-one class. doc_id names a document: rows that share one are linked. A row whose doc_id is
-null takes the component of its class, if any other row names it. Shingles are compared by
-64-bit hashes. An empty table gives an empty result.
+5. All pairs of groups that share a prefix shingle at places from which they can still
+   reach the overlap, are of compatible size and aren't yet in one component are expanded
+   to their members and verified exactly, as are the members of one group that are still
+   apart. In each list the groups of its largest component meet those outside it only. So
+   no link between different components is missed, and pairs inside a component, which
+   can't change the result, are not made.
+
+Pairs are verified in two steps: by 16 bits of each shingle, whose common ones are at least
+as many as the shingles', and then by the texts, for the few that are left. Only what
+belongs to candidate pairs is moved: a filter of bounded size picks it out of the scan.
+
+Shingles that the sketch finds frequent have their posting lists dealt out under SALTS
+salts; all others are in lists no longer than a counter's mean. What a list has to know of
+itself (its centre, its components) is aggregated before it is shuffled.
+
+doc_id is an integer and names a document: rows that share one are linked. Null texts and
+texts without words have an empty set and no links. Repeated rows are in one class. A row
+whose doc_id is null takes the component of its class, if any other row names it. A text of
+any length is taken whole. Of the input's columns only the two named ones are read, so that
+no other can clash. Shingles are compared by 64-bit hashes. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -44,7 +51,8 @@ from pyspark.sql import functions as F
 
 from leftdeep.llm.components import components
 from leftdeep.llm.exchange import pack, unpack
-from leftdeep.llm.hashing import NOT_SPACE, batches, mix, shingles, word_hashes
+from leftdeep.llm.filters import may_hold
+from leftdeep.llm.hashing import NOT_SPACE, batches, mix, ranges, shingles, word_hashes
 from leftdeep.shared import stored
 
 SHINGLE, PERCENT = 5, 80
@@ -53,8 +61,8 @@ SKETCH_BITS = 22
 CHUNK = 1 << 14
 #: Levels of the order go up by this many for each doubling of a counter over the mean.
 STEPS = 2
-#: Bits of the filter that finds the texts of candidate pairs: 8 MB to each worker.
-MARK_BITS = 26
+#: Sublists of a frequent shingle's posting list, and groups whose prefix a task remembers.
+SALTS, REMEMBERED = 64, 100_000
 U = np.uint64
 
 
@@ -80,13 +88,21 @@ def _sketch(docs: DataFrame, text_col: str) -> np.ndarray:
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = np.zeros(1 << SKETCH_BITS, np.int64)
+        held: list[np.ndarray] = []
         for part in parts:
             for _, some in batches(part[text_col].tolist()):
                 words, begins = word_hashes(some, NOT_SPACE)
-                at = np.arange(len(words) - SHINGLE + 1 if len(words) >= SHINGLE else 0)
-                text = np.searchsorted(begins, at, side="right")
-                whole = at + SHINGLE <= begins[text] if len(at) else at
-                own += np.bincount((shingles(words, SHINGLE)[whole] >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(own)) if len(at) else 0
+                grams = shingles(words, SHINGLE)
+                whole = np.ones(len(grams), bool)  # in one text
+                for back in range(1, SHINGLE):
+                    cut = begins[1:-1] - back
+                    whole[cut[(cut >= 0) & (cut < len(whole))]] = False
+                held.append((grams[whole] >> U(64 - SKETCH_BITS)).astype(np.int32))
+                if sum(map(len, held)) >= len(own):
+                    own += np.bincount(np.concatenate(held), minlength=len(own))
+                    held = []
+        if held:
+            own += np.bincount(np.concatenate(held), minlength=len(own))
         if own.any():
             for i in range(0, len(own), CHUNK):
                 yield pd.DataFrame({"chunk": [i // CHUNK], "counts": [pack(own[i : i + CHUNK])]})
@@ -114,27 +130,53 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(STEPS * np.log2(np.maximum(over, 1))), 31).astype(np.uint8)
 
 
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of consecutive runs of values, modulo 2**64."""
+    total = np.concatenate(([U(0)], np.cumsum(values, dtype=U)))
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
+
+
 def _prefixes(docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2: a signature of the set, grp: one of the prefix, prefix)."""
+    """(doc_id, n, s1, s2: a signature of the set, grp: one of the prefix, prefix, short: the
+    sorted 16-bit hashes of the set). A group's prefix is left out where the same task has
+    just had it."""
     order = docs.sparkSession.sparkContext.broadcast(levels(_sketch(docs, text_col)))
 
     def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         level = order.value.astype(U) << U(58)
+        had: set[int] = set()
         for part in parts:
-            out = []
-            for s in sets_of(part[text_col].tolist()):
-                n = len(s)
-                a, b = (mix(s).sum(dtype=U), mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)) if n else (U(0), U(0))
-                ranked = np.sort(level[s >> U(64 - SKETCH_BITS)] | (mix(s) >> U(6)))
-                prefix = ranked[: n - int(least_overlap(np.int64(n), percent)) + 1] if n else ranked
-                grp = mix(prefix + np.arange(len(prefix), dtype=U)).sum(dtype=U) ^ mix(np.array([n], U))[0] if n else U(0)
-                out.append((n, *np.array([a, b, grp], U).view(np.int64).tolist(), prefix.view(np.int64)))
-            frame = pd.DataFrame(out, columns=["n", "s1", "s2", "grp", "prefix"])
-            frame.insert(0, "doc_id", part[id_col].to_numpy())
-            frame["doc_id"] = pd.array(frame["doc_id"], dtype="Int64")
-            yield frame
-
-    return docs.select(id_col, text_col).mapInPandas(look, "doc_id long, n int, s1 long, s2 long, grp long, prefix array<long>")
+            sets = list(sets_of(part[text_col].tolist()))
+            n = np.array([len(x) for x in sets])
+            flat = np.concatenate(sets)
+            spread = mix(flat)
+            s1, s2 = _sums(spread, n), _sums(mix(flat ^ U(0x5851F42D4C957F2D)), n)
+            ranked, short, ends = level[flat >> U(64 - SKETCH_BITS)] | (spread >> U(6)), flat.astype(np.uint16), np.cumsum(n)
+            keep = np.where(n > 0, n - least_overlap(n, percent) + 1, 0)
+            prefixes = [np.sort(ranked[e - k : e])[:m] for e, k, m in zip(ends.tolist(), n.tolist(), keep.tolist(), strict=True)]
+            place = ranges(np.zeros(len(n), np.int64), keep).astype(U)
+            grp = _sums(mix(np.concatenate(prefixes) + place), keep) ^ np.where(n > 0, mix(n.astype(U)), U(0))
+            if len(had) > REMEMBERED:
+                had.clear()
+            for i, g in enumerate(grp.tolist()):
+                if g in had:
+                    prefixes[i] = prefixes[i][:0]
+                had.add(g)
+            yield pd.DataFrame(
+                {
+                    "doc_id": part[id_col].astype("Int64").array,
+                    "n": n.astype(np.int32),
+                    "s1": s1.view(np.int64),
+                    "s2": s2.view(np.int64),
+                    "grp": grp.view(np.int64),
+                    "prefix": [x.view(np.int64) for x in prefixes],
+                    "short": [np.sort(short[e - k : e]).tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)],
+                }
+            )
+
+    schema = "doc_id long, n int, s1 long, s2 long, grp long, prefix array<long>, short binary"
+    return docs.select(id_col, text_col).mapInPandas(look, schema)
 
 
 def _similar(percent: int):
@@ -150,55 +192,82 @@ def _similar(percent: int):
     return similar
 
 
-def _marks(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size for a column of ids: false hits are possible, misses are not."""
-    at = ids.select(F.pmod(F.xxhash64(ids.columns[0]), F.lit(1 << MARK_BITS)).alias("at"))
-    words = at.groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits"))
-    out = np.zeros(1 << (MARK_BITS - 6), np.int64)
-    found = words.toPandas()  # 2**(MARK_BITS - 6) rows at most
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return out.view(U)
+def common_at_most(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two sorted lists of 16-bit numbers have in common, repeats included."""
+    both = np.concatenate((x, y))
+    value, count = np.unique(both, return_counts=True)
+    ours = np.searchsorted(x, value, side="right") - np.searchsorted(x, value)
+    return int(np.minimum(ours, count - ours).sum())
 
 
-def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """About the rows of ``docs`` whose doc_id is in ``ids``, found without a shuffle."""
-    marks = docs.sparkSession.sparkContext.broadcast(_marks(ids))
+def _may_be_similar(percent: int):
+    """Of 16 bits of each shingle; never false for similar sets."""
 
     @F.pandas_udf("boolean")
-    def hit(at: pd.Series) -> pd.Series:
-        a = at.to_numpy(np.int64)
-        return pd.Series((marks.value[a >> 6] >> (a & 63).astype(U)) & U(1) == U(1))
+    def may(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in parts:
+            out = []
+            for p, q in zip(a, b, strict=True):
+                x, y = np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16)
+                low, high = sorted((len(x), len(y)))
+                fits = 0 < low and low * 100 >= high * percent
+                common = common_at_most(x, y) if fits else 0
+                out.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+            yield pd.Series(out)
 
-    return docs.where("doc_id IS NOT NULL").where(hit(F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS))))
+    return may
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` that are similar."""
-    pairs = stored(pairs, "pairs")
-    texts = _marked(docs, pairs.select("a").union(pairs.select("b")))
-    one = lambda c, t: texts.select(F.col("doc_id").alias(c), F.col("text").alias(t))
+def _marked(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """About the rows of ``table`` whose doc_id is in ``ids``, found without a shuffle."""
+    held = may_hold(table, ids.select(F.xxhash64(ids.columns[0]).alias("id")))
+    return table.where("doc_id IS NOT NULL").where(held(F.xxhash64("doc_id")))
+
+
+def _where_both(pairs: DataFrame, table: DataFrame, column: str, test) -> DataFrame:
+    """The (a, b) of ``pairs`` whose ``column`` in ``table`` passes ``test``."""
+    own = _marked(table.select("doc_id", column), pairs.select("a").union(pairs.select("b")))
+    one = lambda c, t: own.select(F.col("doc_id").alias(c), F.col(column).alias(t))
     both = pairs.join(one("a", "_ta"), "a").join(one("b", "_tb"), "b")
-    return both.where(_similar(percent)(F.col("_ta"), F.col("_tb"))).select("a", "b").distinct()
+    return both.where(test(F.col("_ta"), F.col("_tb"))).select("a", "b").distinct()
+
+
+def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` that are similar."""
+    likely = stored(_where_both(stored(pairs, "pairs"), found, "short", _may_be_similar(percent)), "likely")
+    return _where_both(likely, docs, "text", _similar(percent))
+
+
+def _fits(one: Column, other: Column, percent: int) -> Column:
+    """Whether the sizes allow the similarity."""
+    return F.least(one, other) * 100 >= F.greatest(one, other) * percent
 
 
-def _fits(small: Column, large: Column, percent: int) -> Column:
-    return small * 100 >= large * percent
+def _postings(found: DataFrame, percent: int) -> DataFrame:
+    """(token, salt, grp, n, pos) of all tokens that several groups of fitting sizes have in
+    their prefixes, and perhaps of others."""
+    frequent = F.shiftrightunsigned("token", 58) > 0
+    rows = found.where("n > 0").select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
+    salt = F.when(frequent, F.pmod(F.xxhash64("grp", "token"), F.lit(SALTS)).cast("int")).otherwise(0)
+    rows = rows.select("token", salt.alias("salt"), "grp", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("place")).repartition("token", "salt")
+    lists = rows.groupBy("token", "salt").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("of"), F.min("place").alias("small"), F.max("place").alias("large"))
+    size = lambda place: F.shiftright(place, 32)
+    useful = frequent | ((F.col("lo") != F.col("hi")) & ((F.col("of") > 2) | _fits(size("small"), size("large"), percent)))
+    rows = rows.join(lists.where(useful).select("token", "salt").hint("shuffle_hash"), ["token", "salt"], "left_semi").dropDuplicates(["token", "salt", "grp"])
+    return rows.select("token", "salt", "grp", size("place").cast("int").alias("n"), F.pmod("place", F.lit(1 << 32)).cast("int").alias("pos"))
 
 
 def _likely(posting: DataFrame, groups: DataFrame, percent: int, comps: DataFrame | None = None) -> DataFrame:
     """For each group the partners it shares most posting lists with: of the most central of
     each list, and of those next to it by size. ``comps``: partners of the same component
     don't count."""
-    rows = posting.withColumn("c", F.lit(None).cast("long")) if comps is None else posting.join(comps, "grp")
-    list_ = Window.partitionBy("token")
-    if comps is not None:
-        rows = rows.withColumns({"_lo": F.min("c").over(list_), "_hi": F.max("c").over(list_)}).where("_lo != _hi")
-    me = F.struct("c", "n", "grp")
-    near = rows.select("grp", "n", "c", F.first(me).over(list_.orderBy(F.desc("central"), "n", "grp")).alias("one"), F.lag(me).over(list_.orderBy("n", "grp")).alias("lag"))
+    rows = posting.withColumn("c", F.col("grp")) if comps is None else posting.join(comps, "grp")
+    me = F.struct("central", "n", "grp", "c")
+    lists = rows.groupBy("token").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.max(me).alias("one")).where("_lo != _hi")
+    sub = Window.partitionBy("token", "salt").orderBy("n", "grp")
+    near = rows.withColumn("lag", F.lag(me).over(sub)).join(lists.select("token", "one"), "token")
     near = near.select("grp", "n", "c", F.posexplode(F.array("one", "lag")).alias("way", "p"))
-    near = near.where((F.col("grp") != F.col("p.grp")) & _fits(F.least("n", "p.n"), F.greatest("n", "p.n"), percent))
-    if comps is not None:
-        near = near.where(F.col("c") != F.col("p.c"))
+    near = near.where((F.col("c") != F.col("p.c")) & _fits(F.col("n"), F.col("p.n"), percent))
     count = near.groupBy("way", "grp", F.col("p.grp").alias("_grp")).count()
     best = count.groupBy("way", "grp").agg(F.max_by("_grp", F.struct("count", "_grp")).alias("_grp"))
     best = best.select(F.least("grp", "_grp").alias("grp"), F.greatest("grp", "_grp").alias("_grp")).distinct()
@@ -206,25 +275,24 @@ def _likely(posting: DataFrame, groups: DataFrame, percent: int, comps: DataFram
     return best.join(head.withColumnRenamed("gid", "a"), "grp").join(head.select(F.col("grp").alias("_grp"), F.col("gid").alias("b")), "_grp").select("a", "b")
 
 
-def _possible(posting: DataFrame, groups: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+def _possible(posting: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that may be similar.
 
-    Let a's prefix end before b's does. Then every common shingle up to that end is in
-    both prefixes and was counted, and the rest of a has n - prefix more at most."""
+    Take the first shingle in the common order that two similar sets share: it is in both
+    prefixes, and what follows it in either set, itself included, holds the whole overlap."""
     spread = named.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    bucket = Window.partitionBy("token")
-    open_ = posting.join(spread, "grp").withColumns({"_lo": F.min("lo").over(bucket), "_hi": F.max("hi").over(bucket)})
-    open_ = stored(open_.where("_lo != _hi").select("token", "grp", "n", "lo", "hi"), "open")
-    other = open_.select(*[F.col(c).alias(f"_{c}") for c in open_.columns])
+    rows = posting.select("token", "grp", "n", "pos").join(spread, "grp")
+    largest = rows.where("lo = hi").groupBy("token", "lo").count().groupBy("token").agg(F.max_by("lo", F.struct("count", "lo")).alias("_main"))
+    lists = rows.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).where("_lo != _hi").join(largest, "token", "left")
+    rows = rows.join(lists.select("token", "_main"), "token")
+    main = F.coalesce((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("_main")), F.lit(False))
+    rows = stored(rows.select("token", "grp", "n", "pos", "lo", "hi", main.alias("main")), "open")
+    other = rows.select(*[F.col(c).alias(f"_{c}") for c in rows.columns])
     apart = (F.col("lo") != F.col("hi")) | (F.col("_lo") != F.col("_hi")) | (F.col("lo") != F.col("_lo"))
-    ordered = (F.col("_n") < F.col("n")) | ((F.col("_n") == F.col("n")) & (F.col("_grp") < F.col("grp")))
-    shared = open_.join(other, (F.col("token") == F.col("_token")) & ordered & _fits(F.col("_n"), F.col("n"), percent) & apart)
-    shared = shared.groupBy("grp", "_grp", "n", "_n").count()
-    last = groups.select("grp", "last")
-    shared = shared.join(last, "grp").join(last.select(F.col("grp").alias("_grp"), F.col("last").alias("_last")), "_grp")
-    least = lambda n: F.ceil(n * percent / 100)
-    reach = F.col("count") + F.when(F.col("last") <= F.col("_last"), least(F.col("n"))).otherwise(least(F.col("_n"))) - 1
-    shared = shared.where(reach * (100 + percent) >= (F.col("n") + F.col("_n")) * percent).select("grp", "_grp")
+    once = F.col("_main") | (F.col("grp") < F.col("_grp"))
+    reach = F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos")) * (100 + percent) >= (F.col("n") + F.col("_n")) * percent
+    shared = rows.where("NOT main").join(other, (F.col("token") == F.col("_token")) & once & apart & reach & _fits(F.col("n"), F.col("_n"), percent))
+    shared = shared.select("grp", "_grp").distinct()
     shared = shared.union(spread.where("lo != hi").select("grp", F.col("grp").alias("_grp")))
     left = named.select("grp", F.col("rep").alias("a"), F.col("component").alias("ca"))
     right = named.select(F.col("grp").alias("_grp"), F.col("rep").alias("b"), F.col("component").alias("cb"))
@@ -237,28 +305,26 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = stored(_prefixes(docs, "text", "doc_id", percent), "prefixes")
     key = ["s1", "s2", "n"]
-    heads = found.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("grp").alias("grp"), F.first(F.element_at("prefix", -1)).alias("last"))
+    heads = found.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("grp").alias("grp"))
     classes = stored(heads.where("rep IS NOT NULL"), "classes")
-    groups = stored(classes.groupBy("grp").agg(F.min("rep").alias("gid"), F.first("last").alias("last"), F.count(F.lit(1)).alias("members")), "groups")
+    groups = stored(classes.groupBy("grp").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members")), "groups")
 
-    bucket = Window.partitionBy("token")
-    posting = found.where("n > 0").select("grp", "n", F.explode("prefix").alias("token")).repartition("token").distinct()
-    posting = stored(posting.withColumn("_of", F.count(F.lit(1)).over(bucket)).where("_of > 1").drop("_of"), "postings")
+    posting = stored(_postings(found, percent), "postings")
     central = posting.groupBy("grp", "n").agg((F.count(F.lit(1)) * 1000 / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).cast("int").alias("central"))
     central_posting = posting.join(central.select("grp", "central"), "grp")
 
     crowded = groups.where("members > 1")
     in_group = classes.join(crowded.select("grp", "gid"), "grp").where("rep != gid").select(F.col("rep").alias("a"), F.col("gid").alias("b"))
-    links = stored(_verified(_likely(central_posting, groups, percent).union(in_group), docs, percent), "links")
+    links = stored(_verified(_likely(central_posting, groups, percent).union(in_group), found, docs, percent), "links")
     comps = stored(components(links), "components").withColumnRenamed("node", "rep")
     of_group = groups.join(comps.withColumnRenamed("rep", "gid"), "gid", "left").select("grp", F.coalesce("component", "gid").alias("c"))
-    links = stored(links.union(_verified(_likely(central_posting, groups, percent, of_group), docs, percent)), "links")
+    links = stored(links.union(_verified(_likely(central_posting, groups, percent, of_group), found, docs, percent)), "links")
     comps = stored(components(links), "components").withColumnRenamed("node", "rep")
 
     wanted = posting.select("grp").union(crowded.select("grp")).distinct()
     named = classes.select("grp", "rep").join(wanted, "grp", "left_semi").join(comps, "rep", "left")
     named = stored(named.withColumn("component", F.coalesce("component", "rep")), "named")
-    comps = components(links.union(_verified(_possible(posting, groups, named, percent), docs, percent)))
+    comps = components(links.union(_verified(_possible(posting, named, percent), found, docs, percent)))
 
     of_class = classes.select(*key, "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select(*key, F.coalesce("component", "rep").alias("component"))
