@@ -14,6 +14,12 @@ columns of ``documents``:
 4. pseudonyms: personal data in the text is replaced; n_chars follows the new text.
 5. tokens: each text as byte-level BPE ids, with their number and the SHA-256 of the bytes
    that they decode to.
+
+Ids are integers. Documents without a text or without words have under 20 words and go with
+the first stage; run on their own, the other stages keep them. Texts of any length are
+worked on whole. Of equal rows one stays (2.). An empty table passes through all stages.
+Stages return the columns they were given, so a table with further columns keeps them;
+names that begin with an underscore and are used here ("_id", "_row", "_hashed") are taken.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leftdeep.llm import bpe, decontaminate, jaccard, pseudonyms, quality
+from leftdeep.llm.filters import may_hold
 from leftdeep.llm.queries import PSEUDONYM_KEY
 from leftdeep.llm.session import short_batches
 from leftdeep.shared import stored
@@ -40,20 +47,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nameless = F.col("doc_id").isNull()
     if docs.where(nameless).isEmpty():
-        linked = jaccard.link(docs)
+        linked = stored(jaccard.link(docs), "linked")
         firsts = linked.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
         named, blank = docs.withColumn("_id", F.col("doc_id")), docs.limit(0)
     else:
         # Rows without an id are linked under a hash of their text, and come after named ones.
         no_words = nameless & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
         named, blank = docs.where(~no_words).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), docs.where(no_words)
-        linked = jaccard.link(named, "_id").withColumnRenamed("doc_id", "_id")
+        linked = stored(jaccard.link(named, "_id").withColumnRenamed("doc_id", "_id"), "linked")
         hashed = named.where(nameless).select("_id", F.lit(True).alias("_hashed")).distinct()
         least = F.coalesce(F.min(F.when(F.col("_hashed").isNull(), F.col("_id"))), F.min("_id"))
         firsts = linked.join(hashed, "_id", "left").groupBy("component_id").agg(least.alias("_id")).select("_id").distinct()
+    # Only rows that may go, or whose id is repeated, are moved; all others stay where they are.
+    dropped = linked.select(F.col(linked.columns[0]).alias("_id")).join(firsts, "_id", "left_anti")
+    repeated = named.groupBy("_id").count().where("count > 1").select("_id")
+    open_ = may_hold(named, stored(dropped.union(repeated).select(F.xxhash64("_id").alias("_id")).distinct(), "open-ids"))
+    is_open = F.col("_id").isNull() | open_(F.xxhash64("_id"))
     rows = Window.partitionBy("_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    kept = named.join(firsts, "_id", "left_semi").withColumn("_row", F.row_number().over(rows)).where("_row = 1")
-    return kept.select(*docs.columns).unionByName(blank)
+    moved = named.where(is_open).join(firsts, "_id", "left_semi").withColumn("_row", F.row_number().over(rows)).where("_row = 1")
+    return moved.select(*docs.columns).unionByName(named.where(~is_open).select(*docs.columns)).unionByName(blank)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
