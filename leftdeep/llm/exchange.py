@@ -49,6 +49,20 @@ def unpack(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     return out.view("<u8").ravel(), end
 
 
+def sealed(packed: bytes) -> bytes:
+    """Packed integers as they are sent."""
+    return zstandard.ZstdCompressor(level=1).compress(packed)
+
+
+def opened(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def answered(values: np.ndarray) -> bytes:
+    """A part's answers for one chunk."""
+    return sealed(pack(values))
+
+
 def packed_keys(keys: np.ndarray) -> bytes:
     """Sorted keys, as differences."""
     return pack(np.diff(keys, prepend=U(0)))
@@ -63,13 +77,13 @@ def asked(level: int, chunk: str, keys: np.ndarray, parts: int, *columns: np.nda
     """Sorted distinct keys with columns of numbers, cut by part; parts without keys are left out."""
     cut = np.searchsorted(keys, bounds(parts))
     full = np.flatnonzero(np.diff(cut))
-    blobs = [packed_keys(keys[cut[p] : cut[p + 1]]) + b"".join(pack(c[cut[p] : cut[p + 1]]) for c in columns) for p in full]
+    blobs = [sealed(packed_keys(keys[cut[p] : cut[p + 1]]) + b"".join(pack(c[cut[p] : cut[p + 1]]) for c in columns)) for p in full]
     return pd.DataFrame({"level": np.full(len(full), level, np.int32), "part": full.astype(np.int32), "chunk": chunk, "blob": blobs})
 
 
 def unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
     """[keys, column, ...]"""
-    out, at = [], 0
+    out, at, blob = [], 0, opened(blob)
     for _ in range(columns + 1):
         values, at = unpack(blob, at)
         out.append(values)
@@ -80,7 +94,7 @@ def unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
 def in_order(answers: pd.DataFrame, level: int) -> np.ndarray:
     """A chunk's answers of one level, aligned with its sorted keys."""
     own = answers[answers["level"] == level].drop_duplicates("part").sort_values("part")
-    return np.concatenate([np.empty(0, U), *(unpack(b)[0] for b in own["blob"])])
+    return np.concatenate([np.empty(0, U), *(unpack(opened(b))[0] for b in own["blob"])])
 
 
 def chunks(rows: Iterator[pd.DataFrame], id_col: str, text_col: str, size: int) -> Iterator[tuple[str, list, list[bytes]]]:
@@ -122,7 +136,7 @@ def held(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_B
 
 
 def _opened(blob: bytes) -> tuple[list, list[bytes]]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    return pickle.loads(opened(blob))
 
 
 def ask(chunked: DataFrame, of_chunk: Callable[[str, list, list[bytes]], Iterator[pd.DataFrame]]) -> DataFrame:

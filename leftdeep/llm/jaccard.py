@@ -253,7 +253,8 @@ def _postings(found: DataFrame, percent: int) -> DataFrame:
     lists = rows.groupBy("token", "salt").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("of"), F.min("place").alias("small"), F.max("place").alias("large"))
     size = lambda place: F.shiftright(place, 32)
     useful = frequent | ((F.col("lo") != F.col("hi")) & ((F.col("of") > 2) | _fits(size("small"), size("large"), percent)))
-    rows = rows.join(lists.where(useful).select("token", "salt").hint("shuffle_hash"), ["token", "salt"], "left_semi").dropDuplicates(["token", "salt", "grp"])
+    # An inner join by a unique key: a semi-join would be pushed below the exchange that both sides share.
+    rows = rows.join(lists.where(useful).select("token", "salt").hint("shuffle_hash"), ["token", "salt"]).dropDuplicates(["token", "salt", "grp"])
     return rows.select("token", "salt", "grp", size("place").cast("int").alias("n"), F.pmod("place", F.lit(1 << 32)).cast("int").alias("pos"))
 
 

@@ -140,7 +140,7 @@ def _count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     end = END >> U(64 - exchange.KEY_BITS)
     starts = int(total[distinct == end].sum()) if key[0] == 1 else 0
     stats = np.array([total.sum(), np.count_nonzero(total), starts], U)
-    blobs = [exchange.pack(total[at[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    blobs = [exchange.answered(total[at[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     return pd.DataFrame({"level": key[0], "part": key[1], "chunk": [*rows["chunk"], ""], "blob": [*blobs, exchange.pack(stats)]})
 
 

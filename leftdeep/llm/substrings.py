@@ -163,7 +163,7 @@ def _answer(group: tuple, rows: pd.DataFrame, hot: int) -> pd.DataFrame:
     back = np.empty(len(order), U)
     back[order] = state
     cut = np.cumsum([0, *(len(g[0]) for g in given)])
-    return pd.DataFrame({"level": 1, "part": group[1], "chunk": rows["chunk"].tolist(), "blob": [exchange.pack(back[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+    return pd.DataFrame({"level": 1, "part": group[1], "chunk": rows["chunk"].tolist(), "blob": [exchange.answered(back[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]})
 
 
 def _windows(text: bytes) -> np.ndarray:
@@ -341,7 +341,7 @@ def _count_windows(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     of = np.cumsum(np.concatenate(([0], ((key[1:] != key[:-1]) | (value[1:] != value[:-1])).astype(np.int64))))
     twice = np.empty(len(order), U)
     twice[order] = (np.bincount(of, times[order]) > 1)[of]
-    blobs = [exchange.pack(twice[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    blobs = [exchange.answered(twice[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     return pd.DataFrame({"level": rows["level"].to_numpy(), "part": group[1], "chunk": rows["chunk"].tolist(), "blob": blobs})
 
 
