@@ -29,6 +29,8 @@ from leftdeep.shared import stored
 #: Text of a chunk, and text whose keys a part takes.
 CHUNK_BYTES, PART_BYTES = 8 << 20, 16 << 20
 KEY_BITS = 56
+#: Shuffle partitions at most: a task then works on several parts or chunks in turn.
+TASKS = 20_000
 ASKED = "level int, part int, chunk string, blob binary"
 U = np.uint64
 
@@ -139,6 +141,11 @@ def _opened(blob: bytes) -> tuple[list, list[bytes]]:
     return pickle.loads(opened(blob))
 
 
+def tasks(groups: int) -> int:
+    """Shuffle partitions for so many groups."""
+    return max(1, min(groups, TASKS))
+
+
 def ask(chunked: DataFrame, of_chunk: Callable[[str, list, list[bytes]], Iterator[pd.DataFrame]]) -> DataFrame:
     """What ``of_chunk`` asks, for each distinct chunk's name, ids and texts."""
 
@@ -167,4 +174,4 @@ def meet(chunked: DataFrame, answers: DataFrame, of_chunk: Callable[[str, list,
 
     texts = chunked.select(F.lit(last).alias("level"), F.lit(0).alias("part"), "chunk", F.col("held").alias("blob"))
     both = answers.select("level", "part", "chunk", "blob").unionByName(texts)
-    return both.repartition("chunk").sortWithinPartitions("chunk", "level", "part").mapInPandas(run, schema)
+    return both.repartition(tasks(chunked.count()), "chunk").sortWithinPartitions("chunk", "level", "part").mapInPandas(run, schema)

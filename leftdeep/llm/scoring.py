@@ -162,7 +162,7 @@ def score(
     parts = exchange.parts_for(docs, text_col, part_bytes)
     chunked = exchange.held(docs, id_col, text_col, chunk_bytes)
     asked = exchange.ask(chunked, _ask(parts, order))
-    answers = stored(asked.repartition(parts * order, "level", "part").groupBy("level", "part").applyInPandas(_count, exchange.ASKED), "counts")
+    answers = stored(asked.repartition(exchange.tasks(parts * order), "level", "part").groupBy("level", "part").applyInPandas(_count, exchange.ASKED), "counts")
     n = v = starts = 0
     for r in answers.where("chunk = '' AND level = 1").toLocalIterator():  # three numbers of each part
         a, b, c = exchange.unpack(bytes(r["blob"]))[0].tolist()

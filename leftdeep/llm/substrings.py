@@ -405,9 +405,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _answer(group, rows, hot)
 
     asked = exchange.ask(chunked, _ask(parts))
-    first = stored(asked.repartition(parts, "part").groupBy("level", "part").applyInPandas(answer, exchange.ASKED), "runs")
+    first = stored(asked.repartition(exchange.tasks(parts), "level", "part").groupBy("level", "part").applyInPandas(answer, exchange.ASKED), "runs")
     strings = exchange.meet(chunked, first, _strings(parts), STRINGS)
     # A part's windows of all slices meet; its strings are a group of their own.
     kind = F.when(F.col("level") < WINDOWS, F.col("level")).otherwise(WINDOWS).alias("kind")
-    second = stored(strings.repartition(parts * FINER, kind, F.col("part")).groupBy(kind, "part").applyInPandas(_compare, exchange.ASKED), "compared")
+    second = stored(strings.repartition(exchange.tasks(parts * FINER), kind, F.col("part")).groupBy(kind, "part").applyInPandas(_compare, exchange.ASKED), "compared")
     return exchange.meet(chunked, first.union(second), _remove, RESULT)
