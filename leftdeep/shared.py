@@ -29,7 +29,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path; whatever is written there goes when the application ends, if not before."""
     path = _own_dir(spark)
     target, files = _on_files(spark, path)
-    files.deleteOnExit(target)
+    files.mkdirs(target)
+    files.deleteOnExit(target)  # of a path that exists
     return f"{path}/{name}-{uuid.uuid4().hex}"
 
 
