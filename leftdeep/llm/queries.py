@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leftdeep.llm import bpe, decontaminate, jaccard, pseudonyms, quality, scoring, sharding, substrings, urlfilter, wrappers
-from leftdeep.llm.session import short_batches
+from leftdeep.llm.session import short_batches, spread
 from leftdeep.shared import stored
 
 #: For these queries only; a real corpus gets a secret one.
@@ -21,14 +21,8 @@ def _read(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet").select(*columns)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, where its files have fewer parts than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def wrapper_main_text(spark: SparkSession, d: str) -> DataFrame:
-    out = wrappers.main_text(_spread(_read(spark, d, "pages", "page_id", "url", "html")))
+    out = wrappers.main_text(spread(_read(spark, d, "pages", "page_id", "url", "html")))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
@@ -45,11 +39,11 @@ def winnowing_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feistel_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
-    return pseudonyms.pseudonymize(_read(spark, d, "documents", "doc_id", "text"), PSEUDONYM_KEY)
+    return pseudonyms.pseudonymize(spread(_read(spark, d, "documents", "doc_id", "text")), PSEUDONYM_KEY)
 
 
 def quality_js_divergence(spark: SparkSession, d: str) -> DataFrame:
-    out = quality.judge(_spread(_read(spark, d, "documents", "doc_id", "text", "lang")), carried=["doc_id"])
+    out = quality.judge(spread(_read(spark, d, "documents", "doc_id", "text", "lang")), carried=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -59,12 +53,12 @@ def lpt_sharding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grouped_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    return jaccard.link(_spread(_read(spark, d, "documents", "doc_id", "text")))
+    return jaccard.link(spread(_read(spark, d, "documents", "doc_id", "text")))
 
 
 def byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    out = bpe.decode(bpe.encode(_spread(_read(spark, d, "documents", "doc_id", "text")), ranks, public_tokenizers.PATTERN), ranks)
+    out = bpe.decode(bpe.encode(spread(_read(spark, d, "documents", "doc_id", "text")), ranks, public_tokenizers.PATTERN), ranks)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -74,11 +68,11 @@ def byte_bpe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def backoff_scores(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.score(_spread(_read(spark, d, "documents", "doc_id", "text")))
+    return scoring.score(spread(_read(spark, d, "documents", "doc_id", "text")))
 
 
 def repeated_substrings(spark: SparkSession, d: str) -> DataFrame:
-    out = substrings.remove_repeats(_spread(_read(spark, d, "documents", "doc_id", "text")))
+    out = substrings.remove_repeats(spread(_read(spark, d, "documents", "doc_id", "text")))
     return out.select(
         "doc_id",
         "n_bytes",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that a worker gets at once: texts are long, and a batch is held whole on both sides.
 ROWS = 500
@@ -12,6 +13,14 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a table's scan, over all cores, where fewer of its partitions have rows (a file of
+    one row group fills one of them). Only row counts of the files are read for that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    filled = df.select(F.spark_partition_id().alias("at")).distinct().count()
+    return df.repartition(cores) if filled < cores else df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A helper column's name that no column of ``df`` has in any spelling."""
     taken = {c.lower() for c in df.columns}
