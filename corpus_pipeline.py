@@ -18,13 +18,14 @@ columns of ``documents``:
 Ids are integers. Documents without a text or without words have under 20 words and go with
 the first stage; run on their own, the other stages keep them. Texts of any length are
 worked on whole. Of equal rows one stays (2.). An empty table passes through all stages.
-Stages return the columns they were given, so a table with further columns keeps them;
-names that begin with an underscore and are used here ("_id", "_row", "_hashed") are taken.
+Stages return the columns they were given: further ones, of any name and type, go through
+all but the last unchanged, under other names while a stage works.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,17 +34,33 @@ from pyspark.sql import functions as F
 from leftdeep.llm import bpe, decontaminate, jaccard, pseudonyms, quality
 from leftdeep.llm.filters import may_hold
 from leftdeep.llm.queries import PSEUDONYM_KEY
-from leftdeep.llm.session import short_batches
+from leftdeep.llm.session import short_batches, spread
 from leftdeep.shared import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: The columns of ``documents``.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def with_further_columns(stage: Stage) -> Stage:
+    """``stage`` for tables with further columns, which neither it nor an operator can mistake
+    for its own."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in COLUMNS else f"further_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).toDF(*docs.columns)
+
+    return run_stage
+
+
+@with_further_columns
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     short_batches(spark)
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.judge(spread(docs)).where("kept").select(*docs.columns)
 
 
+@with_further_columns
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nameless = F.col("doc_id").isNull()
     if docs.where(nameless).isEmpty():
@@ -63,16 +80,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = named.groupBy("_id").count().where("count > 1").select("_id")
     open_ = may_hold(named, stored(dropped.union(repeated).select(F.xxhash64("_id").alias("_id")).distinct(), "open-ids"))
     is_open = F.col("_id").isNull() | open_(F.xxhash64("_id"))
-    rows = Window.partitionBy("_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    further = F.to_json(F.struct(*[c for c in docs.columns if c != "doc_id"]))  # not all types have an order
+    rows = Window.partitionBy("_id").orderBy("text", further)
     moved = named.where(is_open).join(firsts, "_id", "left_semi").withColumn("_row", F.row_number().over(rows)).where("_row = 1")
     return moved.select(*docs.columns).unionByName(named.where(~is_open).select(*docs.columns)).unionByName(blank)
 
 
+@with_further_columns
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where("n_hit = 0").select(*docs.columns)
 
 
+@with_further_columns
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = pseudonyms.pseudonymize(docs, PSEUDONYM_KEY)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
