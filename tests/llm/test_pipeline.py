@@ -86,3 +86,27 @@ def test_tokens_are_decoded(spark):
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in corpus(5)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.tokens(spark, docs, "").collect()}
     assert got == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in corpus(5)}
+
+
+def test_further_columns_go_through(spark, awkward):
+    """Names that stages and operators use for themselves, and a type without an order."""
+    further = ["_id", "_row", "_hashed", "kept", "n_words", "n_hit", "items", "hits", "n_pseudonyms", "further_5"]
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in ((1, text), (2, text), (2, text), (None, text + " x"), (3, "call 555-123-4567 " + text[::-1]))], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", *[f"concat('{c}', coalesce(doc_id, 0)) AS {c}" for c in further], "map('a', doc_id) AS m")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, awkward)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert [r[c] for c in further] == [f"{c}{r['doc_id'] or 0}" for c in further] and r["m"] == {"a": r["doc_id"]}, name
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, awkward).orderBy("doc_id").collect()] == [1, 3]
+
+
+def test_long_text(spark, awkward):
+    text = " ".join(f"w{i}" for i in range(50_000))
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, text + " x", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.decontamination, corpus_pipeline.personal_data):
+        docs = spark.createDataFrame(stage(spark, docs, awkward).collect(), docs.schema)
+    assert [(r["doc_id"], r["text"]) for r in docs.collect()] == [(1, text)]
+    (row,) = corpus_pipeline.tokens(spark, docs, "").collect()
+    assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
