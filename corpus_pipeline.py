@@ -80,8 +80,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = named.groupBy("_id").count().where("count > 1").select("_id")
     open_ = may_hold(named, stored(dropped.union(repeated).select(F.xxhash64("_id").alias("_id")).distinct(), "open-ids"))
     is_open = F.col("_id").isNull() | open_(F.xxhash64("_id"))
-    further = F.to_json(F.struct(*[c for c in docs.columns if c != "doc_id"]))  # not all types have an order
-    rows = Window.partitionBy("_id").orderBy("text", further)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]  # not all types have an order
+    rows = Window.partitionBy("_id").orderBy("text", *([F.to_json(F.struct(*others))] if others else []))
     moved = named.where(is_open).join(firsts, "_id", "left_semi").withColumn("_row", F.row_number().over(rows)).where("_row = 1")
     return moved.select(*docs.columns).unionByName(named.where(~is_open).select(*docs.columns)).unionByName(blank)
 
