@@ -53,6 +53,7 @@ from leftdeep.llm.components import components
 from leftdeep.llm.exchange import pack, unpack
 from leftdeep.llm.filters import may_hold
 from leftdeep.llm.hashing import NOT_SPACE, batches, mix, ranges, shingles, word_hashes
+from leftdeep.llm.session import give_back, giving_back
 from leftdeep.shared import stored
 
 SHINGLE, PERCENT = 5, 80
@@ -61,6 +62,8 @@ SKETCH_BITS = 22
 CHUNK = 1 << 14
 #: Levels of the order go up by this many for each doubling of a counter over the mean.
 STEPS = 2
+#: Text that a worker hashes at once. Its arrays take some 50 times as much.
+TEXT_BYTES = 1 << 18
 #: Sublists of a frequent shingle's posting list, and groups whose prefix a task remembers.
 SALTS, REMEMBERED = 64, 100_000
 U = np.uint64
@@ -68,7 +71,7 @@ U = np.uint64
 
 def sets_of(texts: list[str | None], k: int = SHINGLE) -> Iterator[np.ndarray]:
     """Each text's distinct shingles, sorted by hash."""
-    for _, part in batches(texts):
+    for _, part in batches(texts, TEXT_BYTES):
         words, begins = word_hashes(part, NOT_SPACE)
         grams = shingles(words, k)
         for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
@@ -88,21 +91,15 @@ def _sketch(docs: DataFrame, text_col: str) -> np.ndarray:
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = np.zeros(1 << SKETCH_BITS, np.int64)
-        held: list[np.ndarray] = []
         for part in parts:
-            for _, some in batches(part[text_col].tolist()):
+            for _, some in batches(part[text_col].tolist(), TEXT_BYTES):
                 words, begins = word_hashes(some, NOT_SPACE)
                 grams = shingles(words, SHINGLE)
                 whole = np.ones(len(grams), bool)  # in one text
                 for back in range(1, SHINGLE):
                     cut = begins[1:-1] - back
                     whole[cut[(cut >= 0) & (cut < len(whole))]] = False
-                held.append((grams[whole] >> U(64 - SKETCH_BITS)).astype(np.int32))
-                if sum(map(len, held)) >= len(own):
-                    own += np.bincount(np.concatenate(held), minlength=len(own))
-                    held = []
-        if held:
-            own += np.bincount(np.concatenate(held), minlength=len(own))
+                np.add.at(own, (grams[whole] >> U(64 - SKETCH_BITS)).astype(np.int64), 1)
         if own.any():
             for i in range(0, len(own), CHUNK):
                 yield pd.DataFrame({"chunk": [i // CHUNK], "counts": [pack(own[i : i + CHUNK])]})
@@ -116,7 +113,7 @@ def _sketch(docs: DataFrame, text_col: str) -> np.ndarray:
             yield pd.DataFrame({"chunk": list(sums), "counts": [pack(x) for x in sums.values()]})
 
     schema = "chunk int, counts binary"
-    rows = docs.select(text_col).mapInPandas(count, schema).repartition("chunk").mapInPandas(add, schema)
+    rows = docs.select(text_col).mapInPandas(giving_back(count), schema).repartition("chunk").mapInPandas(giving_back(add), schema)
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in rows.toLocalIterator():  # 2**SKETCH_BITS numbers in all
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = unpack(bytes(r["counts"]))[0]
@@ -144,7 +141,7 @@ def _prefixes(docs: DataFrame, text_col: str, id_col: str, percent: int) -> Data
     order = docs.sparkSession.sparkContext.broadcast(levels(_sketch(docs, text_col)))
 
     def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        level = order.value.astype(U) << U(58)
+        level = order.value
         had: set[int] = set()
         for part in parts:
             sets = list(sets_of(part[text_col].tolist()))
@@ -152,7 +149,7 @@ def _prefixes(docs: DataFrame, text_col: str, id_col: str, percent: int) -> Data
             flat = np.concatenate(sets)
             spread = mix(flat)
             s1, s2 = _sums(spread, n), _sums(mix(flat ^ U(0x5851F42D4C957F2D)), n)
-            ranked, short, ends = level[flat >> U(64 - SKETCH_BITS)] | (spread >> U(6)), flat.astype(np.uint16), np.cumsum(n)
+            ranked, short, ends = (level[flat >> U(64 - SKETCH_BITS)].astype(U) << U(58)) | (spread >> U(6)), flat.astype(np.uint16), np.cumsum(n)
             keep = np.where(n > 0, n - least_overlap(n, percent) + 1, 0)
             prefixes = [np.sort(ranked[e - k : e])[:m] for e, k, m in zip(ends.tolist(), n.tolist(), keep.tolist(), strict=True)]
             place = ranges(np.zeros(len(n), np.int64), keep).astype(U)
@@ -176,7 +173,7 @@ def _prefixes(docs: DataFrame, text_col: str, id_col: str, percent: int) -> Data
             )
 
     schema = "doc_id long, n int, s1 long, s2 long, grp long, prefix array<long>, short binary"
-    return docs.select(id_col, text_col).mapInPandas(look, schema)
+    return docs.select(id_col, text_col).mapInPandas(giving_back(look), schema)
 
 
 def _similar(percent: int):
@@ -188,6 +185,7 @@ def _similar(percent: int):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 out.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
             yield pd.Series(out)
+        give_back()
 
     return similar
 
@@ -214,6 +212,7 @@ def _may_be_similar(percent: int):
                 common = common_at_most(x, y) if fits else 0
                 out.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
             yield pd.Series(out)
+        give_back()
 
     return may
 

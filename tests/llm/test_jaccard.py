@@ -1,7 +1,14 @@
 from __future__ import annotations
 
+import multiprocessing
 import random
+import re
+import tracemalloc
+from pathlib import Path
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from leftdeep.llm import jaccard, queries
@@ -96,3 +103,58 @@ def test_threshold_is_exact():
 def test_query(spark, d):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     assert got(queries.grouped_jaccard(spark, d)) == brute(rows)
+
+
+class Steps:
+    """Stands in for a DataFrame and keeps what its workers would run."""
+
+    def __init__(self):
+        self.run = []
+        self.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v)))
+
+    def select(self, *_):
+        return self
+
+    def repartition(self, *_):
+        return self
+
+    def mapInPandas(self, f, schema):
+        self.run.append(f)
+        return self
+
+    def toLocalIterator(self):
+        return []
+
+
+def worker_memory(step, into):
+    """MB that a worker holds at most beyond its rows, and MB that it keeps after its task."""
+    rng = np.random.default_rng(3)
+    # About as much as a task of the check's larger table, in batches as queries get them.
+    texts = [" ".join(map(str, rng.integers(0, 50_000, 300).tolist())) for _ in range(8000)]
+    parts = lambda: (pd.DataFrame({"doc_id": range(i, i + 500), "text": texts[i : i + 500]}) for i in range(0, len(texts), 500))
+    held = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+    docs = Steps()
+    if step == "sketch":
+        jaccard._sketch(docs, "text")
+    else:
+        jaccard._prefixes(docs, "text", "doc_id", 80)
+    work = docs.run[0 if step == "sketch" else -1]
+    before = held()
+    for _ in work(parts()):
+        pass
+    kept = held() - before
+    tracemalloc.start()
+    for _ in work(parts()):
+        pass
+    into.put((tracemalloc.get_traced_memory()[1] / (1 << 20), kept))
+
+
+@pytest.mark.parametrize("step, most", [("sketch", 60), ("prefixes", 40)])
+def test_workers_hold_little_and_give_it_back(step, most):
+    fresh = multiprocessing.get_context("spawn")
+    into = fresh.Queue()
+    worker = fresh.Process(target=worker_memory, args=(step, into))
+    worker.start()
+    peak, kept = into.get(timeout=120)
+    worker.join()
+    assert peak < most and kept < 20, (peak, kept)
