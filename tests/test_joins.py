@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from leftdeep import JoinPlan
 from leftdeep import TableRef as T
@@ -75,6 +76,60 @@ def test_outer_theta_plan_has_no_table_broadcast(spark, monkeypatch):
     assert "CartesianProduct" in plan and "FullOuter" not in plan
 
 
+@pytest.fixture
+def dealt(monkeypatch):
+    """Every side counts as one that has to be dealt out."""
+    monkeypatch.setattr(strategies, "MANY_PAIRS", 0)
+    monkeypatch.setattr(strategies, "PIECE", 1)
+
+
+def stored_tables(spark, folder, **dfs):
+    for name, df in dfs.items():
+        df.coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def partitions(df):
+    return df.select(F.spark_partition_id()).distinct().count()
+
+
+def test_inner_theta_of_one_row_group_is_dealt_out_and_meets_by_block(spark, dealt, tmp_path):
+    n = 400
+    left = [(float(i * 7 % n), f"a{i}") for i in range(n)] + [(None, "n"), (float("nan"), "nan")]
+    right = [(float(i * 3 % 50), f"x{i}") for i in range(60)] + [(None, "n"), (float("nan"), "nan")]
+    d = stored_tables(spark, tmp_path, l=spark.createDataFrame(left, "k double, v string"), r=spark.createDataFrame(right, "k double, w string"))
+    over = lambda a, b: a is not None and b is not None and (a != a and b == b or a > b)  # noqa: E731  NaN is the greatest
+    for op, match in (("<", lambda a, b: over(b, a)), (">", over)):
+        df = JoinPlan(spark, d).join(T("l", "k"), T("r"), op).to_df()
+        assert sorted((r["l__v"], r["r__w"]) for r in df.collect()) == sorted((v, w) for a, v in left for b, w in right if match(a, b))
+        assert partitions(df) > 1
+        assert "[_block" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_ranged_join_gives_the_same_rows(spark, dealt, monkeypatch, tmp_path, op, broadcast):
+    monkeypatch.setattr(strategies, "SMALL_SIDE", (32 << 20) * broadcast)
+    monkeypatch.setattr(strategies, "BLOCK_STEPS", 3)
+    left = [(i % 9, str(i)) for i in range(40)] + [(None, "n")]
+    for right in ([(i % 14 - 2, str(i)) for i in range(25)] + [(None, "n")], [(4, "x")] * 5, [(None, "n")]):
+        a, b = spark.createDataFrame(left, "k int, v string"), spark.createDataFrame(right, "k bigint, w string")
+        d = stored_tables(spark, tmp_path / f"{len(right)}", l=a, r=b)
+        assert rows(JoinPlan(spark, d).join(T("l", "k"), T("r"), op).to_df()) == brute(left, right, op, "inner")
+        turned = JoinPlan(spark, d).join(T("r", "k"), T("l"), op).to_df()
+        assert rows(turned) == brute(right, left, op, "inner")
+
+
+def test_ranged_join_in_a_chain_and_by_other_types(spark, dealt):
+    small = [(i,) for i in range(6)]
+    src = {n: spark.createDataFrame(small, "k int") for n in "abc"}
+    df = JoinPlan(spark, src).join(T("a", "k"), T("b"), "<").join(T("b", "k"), T("c"), ">=").to_df()
+    assert rows(df) == Counter((a, b, c) for a, b, c in itertools.product(range(6), repeat=3) if a < b >= c)
+    for kind in ("date", "timestamp", "timestamp_ntz", "decimal(9,2)", "string"):
+        days = lambda n: spark.range(n).selectExpr(f"cast(date_add(date'2020-01-01', int(id)) as {kind}) k" if kind[0] != "d" or kind == "date" else f"cast(id as {kind}) k")
+        assert JoinPlan(spark, {"l": days(9), "r": days(7)}).join(T("l", "k"), T("r"), "<").to_df().count() == 21
+
+
 def test_chains_of_outer_theta_joins_double_no_work(spark):
     d = "/root/testdata/sf0.001"
 
