@@ -11,7 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from leftdeep import JoinPlan
+from leftdeep import JoinPlan, col
 from leftdeep import TableRef as T
 from leftdeep.operators import strategy as strategies
 
@@ -130,6 +130,15 @@ def test_ranged_join_in_a_chain_and_by_other_types(spark, dealt):
         assert JoinPlan(spark, {"l": days(9), "r": days(7)}).join(T("l", "k"), T("r"), "<").to_df().count() == 21
 
 
+def test_equal_keys_with_a_comparing_filter_are_dealt_out(spark, dealt, tmp_path):
+    left, right = [(i % 2, i) for i in range(60)], [(i % 2, 2 * i) for i in range(20)]
+    d = stored_tables(spark, tmp_path, l=spark.createDataFrame(left, "k int, v int"), r=spark.createDataFrame(right, "k int, w int"))
+    for a, b, one, two in (("l", "r", left, right), ("r", "l", right, left)):
+        df = JoinPlan(spark, d).join(T(a, "k"), T(b)).filter_by(col("l.v") > col("r.w")).to_df()
+        assert rows(df) == Counter((*x, *y) for x in one for y in two if x[0] == y[0] and (x if a == "l" else y)[1] > (y if a == "l" else x)[1])
+        assert partitions(df) > 1
+
+
 def test_chains_of_outer_theta_joins_double_no_work(spark):
     d = "/root/testdata/sf0.001"
 
