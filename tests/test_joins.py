@@ -106,6 +106,15 @@ def test_inner_theta_of_one_row_group_is_dealt_out_and_meets_by_block(spark, dea
         assert "[_block" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_inner_theta_meets_few_rows_beyond_the_other_sides_ends(spark, dealt, tmp_path):
+    sizes, keys = spark.range(300).selectExpr("int(id % 50 + 1) s"), spark.range(1, 2001).selectExpr("id k")
+    assert strategies._with_partner(keys, F.col("k"), sizes, F.col("s"), "<").count() == 49
+    d = stored_tables(spark, tmp_path, l=sizes, r=keys)
+    df = JoinPlan(spark, d).join(T("l", "s"), T("r", "k"), ">").to_df()
+    assert df.count() == sum(i % 50 for i in range(300))
+    assert "_least" in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 @pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
 def test_ranged_join_gives_the_same_rows(spark, dealt, monkeypatch, tmp_path, op, broadcast):
